@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leadsieve.config import DEFAULT_ALIAS, MailAlias
 
 PHONE_DIGITS = 10
+PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def blank_to_null(c: Column) -> Column:
@@ -38,8 +39,8 @@ def phone_key(c: Column) -> Column:
 
 def number_from_text(c: Column) -> Column:
     """`"1,204"` is 1204; blanks and anything that is not a number are 0."""
-    plain = F.replace(null_to_blank(c.cast("string")), F.lit(","), F.lit(""))
-    return F.coalesce(F.trim(plain).try_cast("double"), F.lit(0.0))
+    plain = F.trim(F.replace(null_to_blank(c.cast("string")), F.lit(","), F.lit("")))
+    return F.coalesce(F.when(plain.rlike(PLAIN_NUMBER), plain.try_cast("double")), F.lit(0.0))
 
 
 def flag_from_text(c: Column) -> Column:

@@ -10,6 +10,8 @@ total along the phone's time line:
 * whole later hours are added from a running total over the phone's hourly sums.
 
 A hot phone is thus spread over its hours, and repeated dials are combined before the shuffle.
+The leads then meet one row per phone and start; if a third of them share that row, the
+adaptive skew join splits them.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from leadsieve.config import Clock, instant
 from leadsieve.functions.text import PHONE_DIGITS, digits, phone_key
 from leadsieve.functions.times import ISO_DATE_PREFIX, ISO_INSTANT_PREFIX, instant_from_text, local_date
 from leadsieve.operators.population import lead_phones
-from leadsieve.operators.skew import HOT_ROWS, BROADCAST_BYTES, lookup_join, restrict_to
+from leadsieve.operators.skew import BROADCAST_BYTES, lookup_join, restrict_to
 
 CONNECT_DIGITS = 15
 MANUAL = "Manual"
@@ -116,7 +118,6 @@ def call_stats(
     since_assignment: bool = True,
     keep: Column | None = None,
     limit: int = BROADCAST_BYTES,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(lead_id, last_call_at, calls_30d, connects_30d) of the leads that were dialled."""
     phones = lead_phones(leads)
@@ -133,7 +134,7 @@ def call_stats(
         keys = ["ph10"]
     dials = restrict_to(dials, starts.select("ph10").distinct(), "ph10", limit)
     totals = dials_after(starts, dials) if since_assignment else dials_by_phone(dials)
-    joined = lookup_join(starts, totals, keys, ["lead_id"], how="inner", limit=limit, hot_rows=hot_rows)
+    joined = starts.join(totals, keys)
     return joined.select("lead_id", "last_call_at", "calls_30d", "connects_30d")
 
 
@@ -150,4 +151,4 @@ def manual_dials_today(leads: DataFrame, call_log: DataFrame, clock: Clock) -> D
         .distinct()
     )
     phones = leads.select("lead_id", phone_key(F.col("customer_phone_number")).alias("ph10"))
-    return lookup_join(phones, dialled, ["ph10"], ["lead_id"], how="inner").select("lead_id")
+    return lookup_join(phones, dialled, "ph10", how="inner").select("lead_id")

@@ -168,12 +168,12 @@ def user_names(users: DataFrame, alias: MailAlias = DEFAULT_ALIAS) -> DataFrame:
 
 
 def with_geo(rows: DataFrame, geo: DataFrame, rules: r.RuleSet) -> DataFrame:
-    joined = lookup_join(rows, geo_rollup(geo), ["pin_key"], ["lead_id"])
+    joined = lookup_join(rows, geo_rollup(geo), "pin_key")
     names = ["geo_cluster", "geo_city"] + (["written_city"] if rules.written_cities else [])
     return joined.withColumn("cluster", F.coalesce(*names))
 
 
 def with_owner(rows: DataFrame, users: DataFrame, alias: MailAlias = DEFAULT_ALIAS) -> DataFrame:
     """Owner's name (blank, not NULL, for an unknown owner) and normalised address."""
-    joined = lookup_join(rows, user_names(users, alias), ["lrm_id"], ["lead_id"])
+    joined = lookup_join(rows, user_names(users, alias), "lrm_id")
     return joined.withColumn("lrm_name", F.coalesce("lrm_name", F.lit("")))

@@ -10,15 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 10 * 1024 * 1024
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 4_096
-SALTS = 64
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a plan; runs no job. None where it cannot be read."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
         return None
 
@@ -42,40 +39,20 @@ def restrict_to(facts: DataFrame, ids: DataFrame, key: str, limit: int = BROADCA
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
-    keys: Sequence[str],
-    spread: Sequence[str],
+    keys: str | Sequence[str],
     *,
     how: str = "left",
     limit: int = BROADCAST_BYTES,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join facts to a table with few rows per key, whatever the key distribution of the facts.
 
-    A lookup below the size limit is broadcast. Beyond it both sides are shuffled, and the
-    rows of hot and NULL keys are spread over salts taken from the `spread` columns, so a
-    retried task makes the same choice. The hot-key list is broadcast; it has at most
-    MAX_HOT_KEYS rows, and a key left off it is joined unsalted with the same result.
+    A lookup below the size limit is broadcast. Beyond it both sides are shuffled on the keys
+    and the adaptive skew join cuts an oversized partition of facts, one hot key or all the
+    NULL keys, into pieces that each meet the same few lookup rows.
     """
-    keys = list(keys)
     if fits_broadcast(lookup, limit):
         return facts.join(F.broadcast(lookup), keys, how)
-    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
-    hot = (
-        facts.filter(known)
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= hot_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    spread_salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
-    salted = facts.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | ~known, spread_salt).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copied = lookup.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies))
-    return salted.drop("_hot").join(copied.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
+    return facts.join(lookup, keys, how)
 
 
 def ordering(spec: Sequence[tuple[str, str]]) -> list[Column]:
