@@ -12,6 +12,7 @@ from leadsieve.config import Clock
 from leadsieve.operators.rules import CURRENT, RuleSet
 from leadsieve.plans.queue import CrmTables, build_queue
 from leadsieve.sources import snapshot
+from leadsieve.sources.schemas import RUN_LOG
 
 
 def export_day(
@@ -54,8 +55,7 @@ def export_day(
     done = time.monotonic()
     run = spark.createDataFrame(
         [(exported_at or clock.as_of, rows, fetched - begun, written - fetched, done - written, done - begun, "", len(missing))],
-        "run_at TIMESTAMP, rows BIGINT, fetch_s DOUBLE, queue_s DOUBLE, log_s DOUBLE, total_s DOUBLE, "
-        "error STRING, missing_columns INT",
+        RUN_LOG,
     )
     run.write.mode("append").parquet(runs_path)
     return run

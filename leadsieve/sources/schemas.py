@@ -2,9 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    DataType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructType,
+    TimestampType,
+)
+
+KINDS: dict[str, DataType] = {
+    "STRING": StringType(),
+    "INT": IntegerType(),
+    "BIGINT": LongType(),
+    "DOUBLE": DoubleType(),
+    "TIMESTAMP": TimestampType(),
+}
+
+
+def columns(text: str) -> StructType:
+    """`name TYPE, name TYPE`; unlike the DDL parser it needs no running session."""
+    schema = StructType()
+    for item in text.split(","):
+        name, kind = item.split()
+        schema.add(name, KINDS[kind])
+    return schema
+
 
-LEAD = StructType.fromDDL(
+LEAD = columns(
     """
     lead_id STRING, is_delete INT, customer_is_delete INT, created_at TIMESTAMP, updated_at TIMESTAMP,
     status STRING, stage STRING, customer_first_name STRING, customer_middle_name STRING,
@@ -16,18 +42,18 @@ LEAD = StructType.fromDDL(
     """
 )
 # `status` is read by one superseded rule set only
-LEAD_HISTORY = StructType.fromDDL(
+LEAD_HISTORY = columns(
     """
     event_id STRING, lead_id STRING, created_at TIMESTAMP, stage STRING, status STRING,
     meeting_confirmed_datetime TIMESTAMP, meeting_schedule_date TIMESTAMP, meeting_done_date TIMESTAMP
     """
 )
 # `call_type` is read by one superseded rule set and by the optional dial filter
-CALL_LOG = StructType.fromDDL(
+CALL_LOG = columns(
     "call_to STRING, created_at STRING, response_call_duration STRING, call_type STRING"
 )
-GEO = StructType.fromDDL("pin_code STRING, cluster STRING, city STRING, pincode_status STRING, is_delete INT")
-USERS = StructType.fromDDL("user_id STRING, first_name STRING, last_name STRING, emails STRING")
+GEO = columns("pin_code STRING, cluster STRING, city STRING, pincode_status STRING, is_delete INT")
+USERS = columns("user_id STRING, first_name STRING, last_name STRING, emails STRING")
 
 BASE_TABLES = {"lead": LEAD, "lead_history": LEAD_HISTORY, "call_log": CALL_LOG, "geo": GEO, "users": USERS}
 
@@ -99,8 +125,8 @@ AUDIO_EXTENSIONS = (
 )
 # ------------------------------------------------------------------------------------------
 
-RCA_LOG = StructType.fromDDL(", ".join(f"`{c}` STRING" for c in RCA_COLUMNS))
-RUN_LOG = StructType.fromDDL(
+RCA_LOG = columns(", ".join(f"{c} STRING" for c in RCA_COLUMNS))
+RUN_LOG = columns(
     "run_at TIMESTAMP, rows BIGINT, fetch_s DOUBLE, queue_s DOUBLE, log_s DOUBLE, total_s DOUBLE, "
-    "verdict STRING, notes STRING"
+    "error STRING, missing_columns INT"
 )
