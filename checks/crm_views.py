@@ -185,3 +185,187 @@ def crm_tables(spark: SparkSession, sf_dir: str) -> CrmTables:
         geo=geo(spark, sf_dir),
         users=users(spark, sf_dir),
     )
+
+
+# ---- reporting chain, reviews, recordings, runs ----------------------------------------
+
+
+def letters(n: Column) -> Column:
+    return F.translate(n.cast("string"), "0123456789", "abcdefghij")
+
+
+def hierarchy_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reporting sheet under its own headers: a row per supplier, and a later second row
+    of another team lead for suppliers in debt. Every 13th has no address."""
+    s, n = F.col("s_suppkey"), F.col("s_nationkey")
+    chain = table(spark, sf_dir, "supplier").join(
+        F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")
+    )
+    zone = F.when(s % 5 != 0, F.concat(F.lit("Zone "), s % 7)).otherwise("")
+
+    def rows(df: DataFrame, first: int, nation: Column) -> DataFrame:
+        lead_mail = F.concat(F.lit("tl."), nation, F.lit("@homes.example.com"))
+        return df.select(
+            (F.lit(first) + s).alias("seq"),
+            F.when(s % 13 != 0, F.concat(F.lit(" Rep."), s, F.lit("@Example.com"))).otherwise("").alias("Email IDs"),
+            F.concat(
+                F.lit("REP-"), letters(s), F.when(s % 3 != 0, F.concat(F.lit(" -- Of  "), letters(n))).otherwise("")
+            ).alias("LRM Name"),
+            F.concat(F.lit("E"), s).alias("SSEID"),
+            zone.alias("Cluster"),
+            F.concat(F.lit("City "), n).alias("City"),
+            F.when(s % 9 != 0, lead_mail).otherwise("").alias("LRM TL Email ID"),
+            F.upper(lead_mail).alias("TL Email"),
+            F.concat(F.lit("Lead "), nation).alias("TL Name"),
+            F.concat(F.lit("zsm."), F.col("n_regionkey"), F.lit("@example.com")).alias("DZSM"),
+            F.concat(F.lit("ados."), F.col("n_regionkey") % 2, F.lit("@example.com")).alias("ADOS Email"),
+            F.when(s % 17 == 0, "Inactive").when(s % 4 == 0, "").otherwise("Active").alias("HR Status"),
+        )
+
+    return rows(chain, 0, n).unionByName(rows(chain.filter(F.col("s_acctbal") < 0), 10_000_000, (n + 1) % 25))
+
+
+def mapping_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two override rows for each supplier in good standing; the second has other gaps."""
+    s = F.col("s_suppkey")
+    rich = table(spark, sf_dir, "supplier").filter(F.col("s_acctbal") > 5000)
+    mail = F.concat(F.lit("REP."), s, F.lit("@homes.example.com"))
+
+    def rows(second: int, fields: dict[str, Column]) -> DataFrame:
+        return rich.select(
+            (s * 2 + second).alias("seq"),
+            mail.alias("lrm_email"),
+            *[
+                fields.get(f, F.lit("")).alias(f)
+                for f in (
+                    "lrm_name", "tl_email", "tl_name", "zsm_email", "zsm_name",
+                    "ados_email", "ados_name", "cluster", "hr_status",
+                )
+            ],
+            F.lit("admin@example.com").alias("updated_by"),
+            F.concat(F.lit("2024-01-0"), F.lit(second + 1)).alias("updated_at"),
+        )
+
+    first = {
+        "lrm_name": F.concat(F.lit("Patched "), letters(s)),
+        "tl_email": F.when(s % 2 == 0, F.concat(F.lit("TL."), s % 7, F.lit("@homes.example.com"))).otherwise(""),
+        "cluster": F.concat(F.lit(" Patch\n"), s % 5),
+        "hr_status": F.when(s % 19 == 0, "INACTIVE").otherwise(""),
+    }
+    later = {
+        "tl_name": F.when(s % 2 == 0, F.concat(F.lit("Lead "), s % 7)).otherwise(""),
+        "zsm_email": F.when(s % 8 == 0, "Zsm.9@example.com").otherwise(""),
+        "cluster": F.when(s % 3 == 0, F.concat(F.lit("Patch B"), s % 5)).otherwise(""),
+    }
+    return rows(0, first).unionByName(rows(1, later))
+
+
+ACCESS_CYCLE = ("tl", "zsm", "none", "auditor", "ados", "admin", "", "TL")
+
+
+def access_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, n = F.col("s_suppkey"), F.col("s_nationkey")
+    email = (
+        F.when(s % 5 == 0, F.concat(F.lit("TL."), n, F.lit("@homes.example.com")))
+        .when(s % 5 == 1, F.concat(F.lit("zsm."), n % 7, F.lit("@example.com")))
+        .otherwise(F.concat(F.lit("rep."), s, F.lit("@example.com")))
+    )
+    return table(spark, sf_dir, "supplier").select(
+        s.alias("seq"),
+        email.alias("email"),
+        nth(ACCESS_CYCLE, s % 8).alias("role"),
+        F.lit("").alias("scope"),
+        F.concat(F.lit("note\n"), s).alias("note"),
+        F.lit("admin@example.com").alias("updated_by"),
+        F.lit("2024-01-02").alias("updated_at"),
+    )
+
+
+ADMINS = ("Boss@example.com", "ados.1@example.com")
+
+
+def viewers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everybody who could sign in: reps, team leads and their managers."""
+    s, n = F.col("s_suppkey"), F.col("s_nationkey")
+    kinds = F.array(
+        F.concat(F.lit("Rep."), s, F.lit("@example.com")),
+        F.concat(F.lit("tl."), n, F.lit("@homes.example.com")),
+        F.concat(F.lit("zsm."), s % 8, F.lit("@example.com")),
+        F.concat(F.lit("ados."), s % 3, F.lit("@example.com")),
+    )
+    return table(spark, sf_dir, "supplier").select(F.explode(kinds).alias("viewer_email"))
+
+
+def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews of urgent orders, a second one for those part-shipped, and one per chat turn."""
+    from leadsieve.sources.schemas import RCA_COLUMNS
+
+    k = F.col("o_orderkey")
+    urgent = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+
+    def rows(df: DataFrame, seq: Column, fields: dict[str, Column]) -> DataFrame:
+        return df.select(
+            seq.cast("bigint").alias("seq"), *[fields.get(c, F.lit("")).alias(c) for c in RCA_COLUMNS]
+        )
+
+    first = {
+        "logged_at": iso(ago(k % 3, k % 5)),
+        "audit_date": F.when(k % 4 != 0, "2024-01-31").when(k % 8 == 4, "2024-01-30T09:30:00Z").otherwise(""),
+        "lead_id": F.concat(F.lit("L"), k),
+        "tl_email": F.concat(F.lit("tl."), F.col("o_custkey") % 25, F.lit("@example.com")),
+        "reason": F.lit("No call back"),
+        "review_verdict": F.when(k % 5 == 0, "Needs rework").when(k % 5 < 3, "Accepted").otherwise(""),
+        "reviewer_email": F.concat(F.lit("qa."), k % 3, F.lit("@example.com")),
+        "recording_url": F.when(k % 6 == 0, recording_path()).otherwise(""),
+    }
+    again = {**first, "reason": F.lit("Second look"), "review_verdict": F.lit("needs Rework again")}
+    conv, turn = F.col("conv_id"), F.col("turn")
+    chat = {
+        "logged_at": iso(F.timestamp_seconds(F.lit(EPOCH) - (20 - turn) * 60)),
+        "audit_date": F.date_format(ago(conv % 60), "yyyy-MM-dd"),
+        "lead_id": F.concat(F.lit("L"), conv),
+        "tl_email": F.concat(F.lit("tl."), conv % 25, F.lit("@example.com")),
+        "reason": F.col("role"),
+        "note": F.col("text"),
+        "reviewer_email": F.lit("qa.0@example.com"),
+    }
+    return (
+        rows(urgent, k, first)
+        .unionByName(rows(urgent.filter(F.col("o_orderstatus") == "P"), k + 1_000_000_000, again))
+        .unionByName(rows(table(spark, sf_dir, "conversations"), conv * 1000 + turn + 2_000_000_000, chat))
+    )
+
+
+EXTENSIONS = ("mp3", "txt", "MP4", "pdf", "wav")
+CONTENT_TYPES = ("audio/mpeg; rate=8", "application/octet-stream", "video/mp4", "video/x", "text/plain", "", "audio/wav")
+
+
+def recording_path() -> Column:
+    k = F.col("o_orderkey")
+    return F.concat(
+        F.lit("store/recordings/L"), k, F.lit("/"), k + 1_700_000_000_000, F.lit("-call_"), k % 9,
+        F.lit("."), nth(EXTENSIONS, k % 5),
+    )
+
+
+def recording_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        recording_path().alias("path"),
+        (k * 37 % 1000 + 1).alias("size"),
+        nth(CONTENT_TYPES, k % 7).alias("content_type"),
+    )
+
+
+def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One export run per hour of events; purchases stand for exported rows."""
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    return (
+        table(spark, sf_dir, "events")
+        .groupBy(hour.alias("run_at"))
+        .agg(
+            F.count_if(F.col("event_type") == "purchase").alias("rows"),
+            F.when(F.min("event_id") % 13 == 0, "timeout").otherwise("").alias("error"),
+            (F.count_if(F.col("event_type") == "error") % 5 == 4).cast("int").alias("missing_columns"),
+        )
+    )

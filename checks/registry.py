@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from checks import queries_queue
+from checks import queries_queue, queries_rules, registration
 
-MODULES = (queries_queue,)
+MODULES = (queries_queue, queries_rules)
 
 
 def queries() -> dict:
-    return {name: fn for module in MODULES for name, fn in module.QUERIES.items()}
+    return dict(registration.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
+    return dict(registration.SQL)

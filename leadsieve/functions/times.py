@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadsieve.config import LOCAL_ZONE
+from leadsieve.config import LOCAL_ZONE, MONTH_CHANGEOVER_DAYS
 
 ISO_DATE_PREFIX = r"^\d{4}-\d{2}-\d{2}"
 ISO_INSTANT_PREFIX = r"^\d{4}-\d{2}-\d{2}T"
@@ -19,6 +19,13 @@ def local_date(ts: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, LOCAL_ZONE))
 
 
+def close_from(today: Column) -> Column:
+    """First day whose closes are audited on `today`; the column form of `Clock.close_from`."""
+    start = F.trunc(today, "MM")
+    young = F.datediff(today, start) < MONTH_CHANGEOVER_DAYS
+    return F.when(young, F.add_months(start, -1)).otherwise(start)
+
+
 def days_between(later: Column, earlier: Column) -> Column:
     return F.datediff(later, earlier).cast("bigint")
 
