@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadsieve.config import Clock
-from leadsieve.plans.queue import CrmTables
+from leadsieve.plans.queue import CrmTables, build_queue
+from leadsieve.session import scratch_path
+from leadsieve.sources.schemas import RCA_COLUMNS
+from leadsieve.sources.snapshot import replace_day
 
 AS_OF = datetime(2024, 1, 31, 9, 30, tzinfo=timezone.utc)
 CLOCK = Clock(AS_OF)
@@ -187,6 +190,22 @@ def crm_tables(spark: SparkSession, sf_dir: str) -> CrmTables:
     )
 
 
+_SNAPSHOTS: dict[tuple[str, str], str] = {}
+
+
+def queue_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written queue of the day, which everything downstream of the export reads.
+
+    The first query of a session that asks for it writes it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SNAPSHOTS:
+        path = scratch_path(spark, "queue")
+        replace_day(build_queue(crm_tables(spark, sf_dir), CLOCK, sort=False), path)
+        _SNAPSHOTS[key] = path
+    return spark.read.parquet(_SNAPSHOTS[key])
+
+
 # ---- reporting chain, reviews, recordings, runs ----------------------------------------
 
 
@@ -298,8 +317,6 @@ def viewers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews of urgent orders, a second one for those part-shipped, and one per chat turn."""
-    from leadsieve.sources.schemas import RCA_COLUMNS
-
     k = F.col("o_orderkey")
     urgent = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
 

@@ -175,7 +175,7 @@ PARTS["sight"] = """
 SELECT viewer_email, role, override_role, count(tl_email) AS team_leads,
   role IN ('admin', 'auditor') OR (override_role IN ('zsm', 'ados') AND role IN ('zsm', 'ados') AND count(tl_email) = 0)
     AS see_all
-FROM viewer_role LEFT JOIN team_grant USING (viewer_email) GROUP BY ALL"""
+FROM viewer_role LEFT JOIN team_grant USING (viewer_email) GROUP BY viewer_email, role, override_role"""
 PARTS["owner_sight"] = "SELECT DISTINCT viewer_email, lrm_email FROM team_grant JOIN org_chart USING (tl_email)"
 
 # ---- reviews, recordings, runs ----

@@ -51,6 +51,13 @@ def access_upsert(
     return kept.unionByName(last.filter(F.col("role") != "")).orderBy("email")
 
 
+def reporting_lines(hierarchy: DataFrame) -> DataFrame:
+    """(line, viewer_email, tl_email): who leads a row as tl, zsm or ados, and its team lead."""
+    held = [F.struct(F.lit(line).alias("line"), F.col(c).alias("viewer_email")) for line, c in LINES.items()]
+    rows = hierarchy.select(F.explode(F.array(*held)).alias("h"), "tl_email")
+    return rows.select("h.line", "h.viewer_email", "tl_email")
+
+
 def resolve_roles(
     viewers: DataFrame,
     hierarchy: DataFrame,
@@ -65,9 +72,10 @@ def resolve_roles(
     people = viewers.select(mail_key(F.col("viewer_email"), alias).alias("viewer_email")).distinct()
     given = overrides.select(F.col("email").alias("viewer_email"), F.col("role").alias("override_role"))
     out = people.join(given, "viewer_email", "left")
-    for role, column in LINES.items():
-        leads = hierarchy.select(F.col(column).alias("viewer_email")).distinct().withColumn(f"_{role}", F.lit(True))
-        out = lookup_join(out, leads, "viewer_email")
+    held = reporting_lines(hierarchy).groupBy("viewer_email").agg(
+        *[F.bool_or(F.col("line") == name).alias(f"_{name}") for name in LINES]
+    )
+    out = lookup_join(out, held, "viewer_email")
     given_role = F.col("override_role")
     role = F.when(given_role == "none", "blocked").when(
         F.col("viewer_email").isin(*[a.strip().lower() for a in admins]) | (given_role == "admin"), "admin"
@@ -84,13 +92,9 @@ def resolve_roles(
 def team_grants(roles: DataFrame, hierarchy: DataFrame) -> DataFrame:
     """(viewer_email, tl_email): the team leads whose teams a limited viewer sees."""
     own = roles.filter(F.col("role") == "tl").select("viewer_email", F.col("viewer_email").alias("tl_email"))
-    out = own
-    for role in ("zsm", "ados"):
-        lines = hierarchy.select(F.col(LINES[role]).alias("viewer_email"), "tl_email").distinct()
-        out = out.unionByName(
-            roles.filter(F.col("role") == role).select("viewer_email").join(lines, "viewer_email")
-        )
-    return out
+    above = reporting_lines(hierarchy).filter(F.col("line") != "tl").withColumnRenamed("line", "role").distinct()
+    managed = roles.join(above, ["viewer_email", "role"]).select("viewer_email", "tl_email")
+    return own.unionByName(managed)
 
 
 def visibility(roles: DataFrame, hierarchy: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ SETTINGS = {
 
 def local_session(app: str = "leadsieve", cores: str = "*", partitions: int = 8, **conf) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
     builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
