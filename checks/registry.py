@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import queries_org, queries_queue, queries_rules, registration
+from checks import queries_data, queries_org, queries_queue, queries_rules, registration
 
-MODULES = (queries_queue, queries_rules, queries_org)
+MODULES = (queries_queue, queries_rules, queries_org, queries_data)
 
 
 def queries() -> dict:
