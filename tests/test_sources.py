@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from types import SimpleNamespace
 
 import pytest
 from conftest import CLOCK, at, make_tables
@@ -78,16 +79,16 @@ def test_fallback(spark, tmp_path):
     assert records.with_fallback(sheet, sheet).first().source == "card"
 
 
-def test_scratch_follows_the_session(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "/shared/work/")
-    try:
-        assert scratch_path(spark, "x").startswith("/shared/work/leadsieve/x-")
-    finally:
-        if before is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", before)
+def session_like(master, shared=None):
+    conf = SimpleNamespace(get=lambda key, default=None: shared or default)
+    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+
+def test_scratch_follows_the_session():
+    assert scratch_path(session_like("spark://x", "/shared/work/"), "x").startswith("/shared/work/leadsieve/x-")
+    assert scratch_path(session_like("local[2]", "/shared"), "x").startswith("/shared/leadsieve/x-")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_path(session_like("spark://x"), "x")
 
 
 def test_column_diff(spark):
