@@ -470,8 +470,7 @@ def topk_lrm_category(spark, sf_dir):
 )
 def final_sort(spark, sf_dir):
     """The queue in output order, with each row's place in it."""
-    queue = plan.build_queue(crm.crm_tables(spark, sf_dir), CLOCK, sort=False)
-    owner = queue.select("lrm_email", "category", "lrm_category_rank", "lead_id")
+    owner = crm.queue_snapshot(spark, sf_dir).select("lrm_email", "category", "lrm_category_rank", "lead_id")
     spec = [("lrm_email", "asc_nulls_last"), ("category", "asc"), ("lrm_category_rank", "asc"), ("lead_id", "asc")]
     return rank_in_group(owner.withColumn("_all", F.lit(0)), ["_all"], spec, 2, "place").drop("_all").orderBy(
         *ordering(spec)

@@ -60,6 +60,8 @@ def dials_after(starts: DataFrame, dials: DataFrame) -> DataFrame:
     marks = starts.select("ph10", F.col("since_at").alias("at")).distinct()
     # a mark is the row with no dial time
     line = line.unionByName(marks, allowMissingColumns=True).withColumn("hour", F.date_trunc("hour", "at"))
+    # said here so that both readers below have the same plan and Spark shuffles the line once
+    line = line.filter(F.col("ph10").isNotNull() & F.col("hour").isNotNull())
 
     # same-hour rows at or after this one; equal times count as after
     later = Window.partitionBy("ph10", "hour").orderBy(F.col("at").desc())

@@ -71,8 +71,9 @@ def rank_in_group(
 
     The first `coarse` sort columns cut each group into slices. Slice sizes are counted with
     map-side combine, a running sum over them gives each slice its offset, and only a slice
-    is sorted as one unit. Use it where all ranks are wanted; a top-k filter over a plain
-    row_number is cheaper, because Spark then drops rows before the shuffle.
+    is sorted as one unit. Rows are read twice, once to be counted, so pass a stored table.
+    Use it where all ranks are wanted; a top-k filter over a plain row_number is cheaper,
+    because Spark then drops rows before the shuffle.
     """
     slice_keys = [name for name, _ in order[:coarse]]
     cut = [*group, *slice_keys]

@@ -14,6 +14,7 @@ from leadsieve.operators.history import history_facts
 from leadsieve.operators.population import open_funnel
 from leadsieve.operators.rules import CURRENT, RuleSet
 from leadsieve.operators.skew import ordering, rank_in_group, top_in_group
+from leadsieve.session import written
 
 RANK = "lrm_category_rank"
 
@@ -75,11 +76,14 @@ def ranked(flagged: DataFrame, rules: RuleSet = CURRENT) -> DataFrame:
 
 
 def all_ranks(flagged: DataFrame, rules: RuleSet = CURRENT) -> DataFrame:
-    """Ranks of every flagged lead. The local creation day, which sorts like the creation time,
-    is put before it so that groups can be cut by score and day."""
+    """Ranks of every flagged lead, which are stored first because ranking reads them twice.
+
+    The local creation day, which sorts like the creation time, is put before it so that
+    groups can be cut by score and day.
+    """
     at = [name for name, _ in rules.rank_order].index("created_at")
     order = [*rules.rank_order[:at], ("created_ist", rules.rank_order[at][1]), *rules.rank_order[at:]]
-    return rank_in_group(flagged, rules.rank_group, order, at + 1, RANK)
+    return rank_in_group(written(flagged, "flagged"), rules.rank_group, order, at + 1, RANK)
 
 
 def project(rows: DataFrame, rules: RuleSet, clock: Clock) -> DataFrame:
@@ -110,7 +114,8 @@ def build_queue(
     keep_dials: Column | None = None,
     sort: bool = True,
 ) -> DataFrame:
-    """The queue of one day under one rule set. Lazy: one job when it is written.
+    """The queue of one day under one rule set. Lazy: one job when it is written. (Only the
+    first rule set, which has no cut, stores its flagged leads on the way.)
 
     Owner and place are only shown, never tested, so they are looked up after the cut to the
     top rows of each owner and category.

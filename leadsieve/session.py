@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,3 +45,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return os.path.join(tempfile.mkdtemp(prefix="leadsieve-"), name)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a costly result to the scratch folder and read it back, for plans that use it twice.
+
+    The stored rows survive lost executors, and nothing upstream runs again.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
