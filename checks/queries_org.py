@@ -294,12 +294,16 @@ def scope_queue(spark, sf_dir):
       if(see_all, (SELECT count(*) FROM org_chart), (SELECT count(*) FROM owner_sight o WHERE o.viewer_email = v.viewer_email))
         AS hierarchy_rows,
       if(role = 'admin', (SELECT count(*) FROM stranded), 0) AS unmapped_rows,
+      if(role = 'admin', (SELECT count(*) FROM map_latest), 0) AS mapping_rows,
+      (SELECT count(*) FROM access_now WHERE role = 'auditor') AS auditors,
       if(role = 'tl', viewer_email, '') AS me_email
     FROM sight v""",
 )
 def scope_payload(spark, sf_dir):
     s = served(spark, sf_dir)
-    return access.scope_payload(s.queue, s.hierarchy, s.unmapped, roles(spark, sf_dir, s.hierarchy))
+    mapping = org.mapping_latest(crm.mapping_rows(spark, sf_dir))
+    given = access.access_latest(crm.access_rows(spark, sf_dir))
+    return access.scope_payload(s.queue, s.hierarchy, s.unmapped, roles(spark, sf_dir, s.hierarchy), mapping, given)
 
 
 # ---- reviews ---------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadsieve.config import DEFAULT_ALIAS, MailAlias
@@ -51,6 +51,11 @@ def access_upsert(
     return kept.unionByName(last.filter(F.col("role") != "")).orderBy("email")
 
 
+def plain_mail(address: str, alias: MailAlias) -> str:
+    """`mail_key` of a configured address."""
+    return address.strip().lower().replace(f"@{alias.alias}", f"@{alias.main}", 1)
+
+
 def reporting_lines(hierarchy: DataFrame) -> DataFrame:
     """(line, viewer_email, tl_email): who leads a row as tl, zsm or ados, and its team lead."""
     held = [F.struct(F.lit(line).alias("line"), F.col(c).alias("viewer_email")) for line, c in LINES.items()]
@@ -78,7 +83,7 @@ def resolve_roles(
     out = lookup_join(out, held, "viewer_email")
     given_role = F.col("override_role")
     role = F.when(given_role == "none", "blocked").when(
-        F.col("viewer_email").isin(*[a.strip().lower() for a in admins]) | (given_role == "admin"), "admin"
+        F.col("viewer_email").isin(*[plain_mail(a, alias) for a in admins]) | (given_role == "admin"), "admin"
     )
     for name in ("auditor", "zsm", "ados", "tl"):
         role = role.when(given_role == name, name)
@@ -123,9 +128,14 @@ def scope_queue(queue: DataFrame, hierarchy: DataFrame, grants: DataFrame) -> Da
 
 
 def scope_payload(
-    queue: DataFrame, hierarchy: DataFrame, unmapped: DataFrame, roles: DataFrame
+    queue: DataFrame,
+    hierarchy: DataFrame,
+    unmapped: DataFrame,
+    roles: DataFrame,
+    mapping: DataFrame,
+    overrides: DataFrame,
 ) -> DataFrame:
-    """What each viewer is served: row counts of queue and chart, and the admin-only list."""
+    """What each viewer is served: rows of queue and chart, and the lists only admins get."""
     shown = visibility(roles, hierarchy)
     grants = team_grants(roles, hierarchy)
     per_owner = queue.groupBy("lrm_email").agg(F.count(F.lit(1)).alias("rows"))
@@ -135,17 +145,21 @@ def scope_payload(
         .groupBy("viewer_email")
         .agg(F.sum("rows").alias("own_rows"), F.count(F.lit(1)).alias("own_reps"))
     )
-    all_rows = queue.agg(F.count(F.lit(1))).scalar()
-    all_reps = hierarchy.agg(F.count(F.lit(1))).scalar()
-    stranded = unmapped.agg(F.count(F.lit(1))).scalar()
     zero = F.lit(0).cast("bigint")
+    admin = F.col("role") == "admin"
+
+    def count(df: DataFrame) -> Column:
+        return df.agg(F.count(F.lit(1))).scalar()
+
     return shown.join(limited, "viewer_email", "left").select(
         "viewer_email",
         "role",
         "override_role",
         "see_all",
-        F.when(F.col("see_all"), all_rows).otherwise(F.coalesce("own_rows", zero)).alias("queue_rows"),
-        F.when(F.col("see_all"), all_reps).otherwise(F.coalesce("own_reps", zero)).alias("hierarchy_rows"),
-        F.when(F.col("role") == "admin", stranded).otherwise(zero).alias("unmapped_rows"),
+        F.when(F.col("see_all"), count(queue)).otherwise(F.coalesce("own_rows", zero)).alias("queue_rows"),
+        F.when(F.col("see_all"), count(hierarchy)).otherwise(F.coalesce("own_reps", zero)).alias("hierarchy_rows"),
+        F.when(admin, count(unmapped)).otherwise(zero).alias("unmapped_rows"),
+        F.when(admin, count(mapping)).otherwise(zero).alias("mapping_rows"),
+        count(overrides.filter(F.col("role") == "auditor")).alias("auditors"),
         F.when(F.col("role") == "tl", F.col("viewer_email")).otherwise("").alias("me_email"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadsieve.functions.text import null_to_blank
+from leadsieve.functions.text import null_to_blank, path_safe
 from leadsieve.sources.schemas import AUDIO_EXTENSIONS
 
 STORED = r"recordings/([^/]+)/(\d+)-([^/]+)$"
@@ -41,3 +41,9 @@ def orphaned(recordings: DataFrame, reviews: DataFrame) -> DataFrame:
     """Recordings that no review points at."""
     linked = reviews.select(F.col("recording_url").alias("path")).filter(F.col("path") != "").distinct()
     return recordings.join(linked, "path", "left_anti")
+
+
+def of_leads(recordings: DataFrame, leads: DataFrame) -> DataFrame:
+    """Recordings with their lead; folders carry the path-safe form of the lead id."""
+    keys = leads.select("lead_id", path_safe(F.col("lead_id")).alias("lead_key"))
+    return recordings.join(keys, "lead_key")

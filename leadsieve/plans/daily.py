@@ -1,61 +1,66 @@
-"""One scheduled run: build the day's queue, keep it, log it, and say how it went."""
+"""One scheduled run: keep the day's queue, log it, and say how it went."""
 
 from __future__ import annotations
 
 import time
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadsieve.config import Clock
-from leadsieve.operators.rules import CURRENT, RuleSet
-from leadsieve.plans.queue import CrmTables, build_queue
+from leadsieve.operators.rules import COLUMNS_V7_8
 from leadsieve.sources import snapshot
 from leadsieve.sources.schemas import RUN_LOG
 
 
 def export_day(
-    spark: SparkSession,
-    tables: CrmTables,
+    queue: DataFrame,
     clock: Clock,
     root: str,
     *,
-    rules: RuleSet = CURRENT,
+    expected: tuple[str, ...] = COLUMNS_V7_8,
     exported_at: datetime | None = None,
     first_of_day: bool = False,
 ) -> DataFrame:
     """Write `queue`, `queue_log` and `run_log` under `root` and return this run's log row.
 
-    The queue is computed once: the log is appended from the written partition. With
-    `first_of_day` a day that is already kept is left as it is; otherwise it is replaced.
-    An empty run leaves the last queue in place and logs no rows.
+    The queue, built here or read from a report, is computed once: it is staged, and the day
+    and the log are written from the staged rows. Columns that did not come back are written
+    blank. With `first_of_day` a day that is already kept stays as it is; otherwise it is
+    replaced. An empty run leaves the last queue in place and logs no rows. A run that
+    throws is logged with its message before the error goes on.
     """
-    begun = time.monotonic()
-    queue_path, log_path, runs_path = f"{root}/queue", f"{root}/queue_log", f"{root}/run_log"
-    known = snapshot.read_kept(spark, queue_path)
-    kept_before = known is not None and not known.filter(F.col(snapshot.DAY) == clock.today_col()).isEmpty()
-    queue = build_queue(tables, clock, rules)
-    missing = snapshot.missing_columns(queue, rules.columns)
-    queue = snapshot.fill_missing(queue, rules.columns) if missing else queue
-    fetched = time.monotonic()
-    if not (first_of_day and kept_before):
+    spark, run_at = queue.sparkSession, exported_at or clock.as_of
+    begun = fetched = written = time.monotonic()
+    missing = snapshot.missing_columns(queue, expected)
+
+    def log_run(rows: int, error: str) -> DataFrame:
+        done = time.monotonic()
+        phases = (fetched - begun, written - fetched, done - written, done - begun)
+        run = spark.createDataFrame([(run_at, rows, *phases, error, len(missing))], RUN_LOG)
+        run.write.mode("append").parquet(f"{root}/run_log")
+        return run
+
+    try:
+        if first_of_day and day_rows(snapshot.read_kept(spark, f"{root}/queue"), clock):
+            return log_run(day_rows(snapshot.read_kept(spark, f"{root}/queue"), clock), "")
         staged = f"{root}/staging/{clock.today.isoformat()}"
-        queue.write.mode("overwrite").parquet(staged)
+        snapshot.fill_missing(queue, expected).write.mode("overwrite").parquet(staged)
         today = spark.read.parquet(staged)
         rows = today.count()
-        snapshot.replace_day(today, queue_path)
-        written = time.monotonic()
+        fetched = written = time.monotonic()
         if rows:
-            snapshot.append_log(today, log_path, exported_at or clock.as_of)
-            snapshot.drop_expired(spark, log_path, clock)
-    else:
-        rows = known.filter(F.col(snapshot.DAY) == clock.today_col()).count()
-        written = time.monotonic()
-    done = time.monotonic()
-    run = spark.createDataFrame(
-        [(exported_at or clock.as_of, rows, fetched - begun, written - fetched, done - written, done - begun, "", len(missing))],
-        RUN_LOG,
-    )
-    run.write.mode("append").parquet(runs_path)
-    return run
+            snapshot.replace_day(today, f"{root}/queue")
+            written = time.monotonic()
+            snapshot.append_log(today, f"{root}/queue_log", run_at)
+            snapshot.drop_expired(spark, f"{root}/queue_log", clock)
+    except Exception as error:
+        log_run(0, str(error)[:900] or type(error).__name__)
+        raise
+    return log_run(rows, "")
+
+
+def day_rows(kept: DataFrame | None, clock: Clock) -> int:
+    """Rows of the clock's day that are kept already; reads that partition only."""
+    return 0 if kept is None else kept.filter(F.col(snapshot.DAY) == clock.today_col()).count()

@@ -5,8 +5,7 @@ from __future__ import annotations
 import pytest
 from conftest import CLOCK, at
 
-from leadsieve.operators import access, recordings, review
-from leadsieve.operators import quality
+from leadsieve.operators import access, quality, recordings, review
 from leadsieve.sources.schemas import RCA_COLUMNS
 
 CHART = [
@@ -64,7 +63,7 @@ def test_overrides_decide_first(spark, chart):
         ("z2@example.com", "zsm"),
     ]
     people = [e for e, _ in given] + ["boss@example.com"]
-    out, teams = seen(spark, chart, people, given, admins=["Boss@example.com"])
+    out, teams = seen(spark, chart, people, given, admins=["Boss@homes.example.com "])
     assert out == {
         "t1@example.com": ("zsm", True),
         "t2@example.com": ("blocked", False),
@@ -146,6 +145,8 @@ def test_audio_listing(spark):
     assert {x.name for x in found.collect()} == {"a.mp3", "c.bin", "d.bin"}
     linked = reviews(spark, {"recording_url": files[0][0]})
     assert {x.name for x in recordings.orphaned(found, linked).collect()} == {"c.bin", "d.bin"}
+    leads = spark.createDataFrame([("L1",), ("L/2",)], "lead_id STRING")
+    assert recordings.of_leads(found, leads).count() == 3
 
 
 def test_files_are_listed_without_reading_them(spark, tmp_path):

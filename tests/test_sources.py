@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from leadsieve.config import Clock
 from leadsieve.functions import text
+from leadsieve.operators import quality
 from leadsieve.operators.rules import COLUMNS_V7_8
 from leadsieve.plans.daily import export_day
+from leadsieve.plans.queue import build_queue
 from leadsieve.session import scratch_path
 from leadsieve.sources import records, schemas, snapshot
 
@@ -113,31 +115,47 @@ def lead_tables(spark, n):
 
 def test_daily_run(spark, tmp_path):
     root = str(tmp_path)
+
     def kept(name):
         return spark.read.parquet(f"{root}/{name}")
-    run = export_day(spark, lead_tables(spark, 25), CLOCK, root).first()
-    assert run.rows == 20
+
+    def export(leads, clock=CLOCK, **options):
+        return export_day(build_queue(lead_tables(spark, leads), clock), clock, root, **options)
+
+    assert export(25).first().rows == 20
     first = kept("queue")
     assert sorted(first.columns) == sorted(COLUMNS_V7_8)
     assert {x.lrm_email for x in first.collect()} == {"a@example.com"}
     # a refresh replaces the day, a first-of-day run leaves it, and both runs stay in the log
-    export_day(spark, lead_tables(spark, 7), CLOCK, root, exported_at=CLOCK.as_of + timedelta(hours=1))
+    export(7, exported_at=CLOCK.as_of + timedelta(hours=1))
     assert kept("queue").count() == 7
-    export_day(spark, lead_tables(spark, 9), CLOCK, root, first_of_day=True)
+    export(9, first_of_day=True)
     assert kept("queue").count() == 7
     assert sorted(x["count"] for x in kept("queue_log").groupBy("exported_at").count().collect()) == [7, 20]
     # an empty run changes nothing
-    export_day(spark, lead_tables(spark, 0), CLOCK, root)
+    export(0)
     assert kept("queue").count() == 7 and kept("queue_log").count() == 27
     # the next day is added, and retention drops days that are too old
-    tomorrow = Clock(CLOCK.as_of + timedelta(days=1))
-    export_day(spark, lead_tables(spark, 5), tomorrow, root)
+    export(5, Clock(CLOCK.as_of + timedelta(days=1)))
     assert kept("queue").count() == 12
     assert snapshot.drop_expired(spark, f"{root}/queue_log", Clock(CLOCK.as_of + timedelta(days=121))) == ["2026-08-03"]
     assert kept("queue_log").count() == 5
     assert kept("run_log").count() == 5
 
 
+def test_failed_run_and_lost_column_are_logged(spark, tmp_path):
+    root = str(tmp_path)
+    queue = build_queue(lead_tables(spark, 5), CLOCK).withColumn("audit_date", F.col("audit_date").cast("string"))
+    with pytest.raises(Exception, match="no such thing"):
+        bad = queue.withColumn("cluster", F.raise_error(F.lit("no such thing")).cast("string"))
+        export_day(bad, CLOCK, root)
+    row = export_day(queue.drop("leak_code"), CLOCK, root, exported_at=CLOCK.as_of + timedelta(hours=1)).first()
+    assert (row.rows, row.missing_columns) == (5, 1)
+    assert {x.leak_code for x in spark.read.parquet(f"{root}/queue").collect()} == {None}
+    runs = quality.run_verdict(spark.read.parquet(f"{root}/run_log")).orderBy("run_at").collect()
+    assert [x.verdict for x in runs] == ["FAILED", "COLS"]
+
+
 def test_write_once(spark, tmp_path):
     path = str(tmp_path / "q")
     days = spark.sql("SELECT DATE'2026-08-01' + CAST(id AS INT) AS audit_date, 'a' AS run FROM range(3)")
