@@ -38,7 +38,8 @@ def recent_dials(call_log: DataFrame, clock: Clock, days: int, keep: Column | No
     """(ph10, call_at, connected) of dials since the day `days` ago; unreadable times are NULL.
 
     The bound is on the ISO text, so it reaches the scan. `keep` is an optional extra filter on
-    the raw log, such as the call type or the dialling agent.
+    the raw log, such as the call type or the dialling agent. Short numbers stay in: no lead
+    has one to match, and testing them here would parse every number twice.
     """
     since = clock.days_ago(days).strftime("%Y-%m-%d")
     rows = call_log.filter(F.col("created_at") >= since)
@@ -48,7 +49,7 @@ def recent_dials(call_log: DataFrame, clock: Clock, days: int, keep: Column | No
         phone_key(F.col("call_to")).alias("ph10"),
         instant_from_text(F.col("created_at"), ISO_DATE_PREFIX).alias("call_at"),
         connected().alias("connected"),
-    ).filter(F.length("ph10") == PHONE_DIGITS)
+    )
 
 
 def dials_after(starts: DataFrame, dials: DataFrame) -> DataFrame:
@@ -56,12 +57,15 @@ def dials_after(starts: DataFrame, dials: DataFrame) -> DataFrame:
     combined = dials.groupBy("ph10", "call_at").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("connected").alias("c")
     )
-    line = combined.select("ph10", F.col("call_at").alias("at"), "n", "c", F.col("call_at").alias("dial_at"))
-    marks = starts.select("ph10", F.col("since_at").alias("at")).distinct()
-    # a mark is the row with no dial time
-    line = line.unionByName(marks, allowMissingColumns=True).withColumn("hour", F.date_trunc("hour", "at"))
-    # said here so that both readers below have the same plan and Spark shuffles the line once
-    line = line.filter(F.col("ph10").isNotNull() & F.col("hour").isNotNull())
+    line = combined.select(
+        "ph10", F.col("call_at").alias("at"), "n", "c", F.col("call_at").alias("dial_at"), F.lit(False).alias("mark")
+    ).unionByName(
+        starts.select("ph10", F.col("since_at").alias("at"), F.lit(True).alias("mark")).distinct(),
+        allowMissingColumns=True,
+    )
+    # dials without a time fall into the hour NULL, which sorts before all others: no start
+    # looks for them there
+    line = line.withColumn("hour", F.floor(F.unix_seconds("at") / 3600))
 
     # same-hour rows at or after this one; equal times count as after
     later = Window.partitionBy("ph10", "hour").orderBy(F.col("at").desc())
@@ -69,7 +73,7 @@ def dials_after(starts: DataFrame, dials: DataFrame) -> DataFrame:
         "ph10",
         "hour",
         "at",
-        "dial_at",
+        "mark",
         F.sum("n").over(later).alias("n"),
         F.sum("c").over(later).alias("c"),
         F.max("dial_at").over(later).alias("last_at"),
@@ -77,20 +81,27 @@ def dials_after(starts: DataFrame, dials: DataFrame) -> DataFrame:
     # running totals only grow, so their maxima are the totals of the hour; the grouping uses
     # the window's own partitioning
     hourly = running.groupBy("ph10", "hour").agg(
-        F.max("n").alias("n"), F.max("c").alias("c"), F.max("last_at").alias("last_at")
+        F.max("n").alias("n"),
+        F.max("c").alias("c"),
+        F.max("last_at").alias("last_at"),
+        F.bool_or("mark").alias("marked"),
     )
     beyond = Window.partitionBy("ph10").orderBy(F.col("hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
     rest = hourly.select(
-        "ph10",
-        "hour",
+        F.col("ph10").alias("_ph10"),
+        F.col("hour").alias("_hour"),
+        "marked",
         F.sum("n").over(beyond).alias("more_n"),
         F.sum("c").over(beyond).alias("more_c"),
         F.max("last_at").over(beyond).alias("more_last_at"),
-    )
+    ).filter("marked")
+    # null-safe on the hour, or the optimizer would filter one of the two readings of the line
+    # for NULL hours and Spark could not share their shuffle
+    same_hour = (F.col("ph10") == F.col("_ph10")) & F.col("hour").eqNullSafe(F.col("_hour"))
     zero = F.lit(0)
     return (
-        running.filter(F.col("dial_at").isNull())
-        .join(rest, ["ph10", "hour"])
+        running.filter("mark")
+        .join(rest, same_hour)
         .select(
             "ph10",
             F.col("at").alias("since_at"),
@@ -129,7 +140,6 @@ def call_stats(
         floor = instant(clock.days_ago(days + 2))
         since = F.greatest(F.coalesce("assigned_at", floor), floor)
         starts = phones.select("lead_id", "ph10", since.alias("since_at"))
-        dials = dials.filter(F.col("call_at").isNotNull())
         keys = ["ph10", "since_at"]
     else:
         starts = phones.select("lead_id", "ph10")

@@ -21,6 +21,8 @@ def local_session(app: str = "leadsieve", cores: str = "*", partitions: int = 8,
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     builder = builder.config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
     builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
+    # the generated code of one queue alone takes about forty entries of the default hundred
+    builder = builder.config("spark.sql.codegen.cache.maxEntries", "2000")
     # call sites in error messages cost a JVM round trip per column expression
     builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     for key, value in {**SETTINGS, **conf}.items():
