@@ -14,6 +14,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # the JVM does not compile methods beyond 8000 bytes; the widest rule stages would run
+    # interpreted if they were fused into one
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
