@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadsieve.config import Clock, instant
-from leadsieve.functions.text import PHONE_DIGITS, digits, phone_key
+from leadsieve.functions.text import digits, phone_key
 from leadsieve.functions.times import ISO_DATE_PREFIX, ISO_INSTANT_PREFIX, instant_from_text, local_date
 from leadsieve.operators.population import lead_phones
 from leadsieve.operators.skew import BROADCAST_BYTES, lookup_join, restrict_to
