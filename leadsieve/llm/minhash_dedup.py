@@ -7,10 +7,10 @@ are candidates. A candidate pair is a link if the similarity of the two whole te
 `THRESHOLD`.
 
 Candidates of a band are first compared with its smallest member only, so a family of thousands
-costs thousands of comparisons. What that leaves apart is compared further: one minus the weighted
-Jaccard similarity is a metric, so two members can only be linked if their similarities to the
-smallest member differ by no more than a link allows; all such pairs in small bands, and more
-centres, round after round, in large ones. No band is cut.
+costs thousands of comparisons. Where that leaves several components in a band, all pairs across
+them are compared: pair by pair in small bands, and in large ones in blocks of bounded size, in which
+weighted sets become rows of a matrix and a task returns a forest of its links, not its pairs. No
+band is cut.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +34,8 @@ BANDS, ROWS = 10, 3
 #: of a shingle is its count times 1 (in every document) to 1 + SPREAD (in none other): a family of
 #: copies makes its own shingles frequent, and full weights would tear it apart.
 DF_BUCKETS, SPREAD = 1 << 18, 0.25
-#: Members of a band of which all needed pairs are compared; centres of a round in larger ones.
-ALL_PAIRS, CENTRES = 64, 16
+#: Largest band whose pairs are rows; members of a slice in the blocks of larger ones.
+SMALL, SLICE = 8, 128
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,12 +72,13 @@ class Weights:
         idf = np.log1p(n_docs / (1.0 + df)) / np.log1p(max(1, n_docs))
         self.factor = (1.0 + SPREAD * np.minimum(1.0, idf)).astype(np.float32)
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, weights and counts of the distinct shingles."""
         keys, counts = shingles(text)
-        return keys, counts * self.factor[(keys >> np.uint64(20)) & np.uint64(len(self.factor) - 1)]
+        return keys, counts * self.factor[(keys >> np.uint64(20)) & np.uint64(len(self.factor) - 1)], counts
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+def similarity(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
     """Weighted Jaccard similarity of two weighted sets with sorted keys; 0 if one is empty."""
     if not len(a[0]) or not len(b[0]):
         return 0.0
@@ -170,7 +172,7 @@ def signatures(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame
             h1, h2, bands = [], [], []
             for text in texts_of(batch, text_col):
                 digest = np.frombuffer(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), dtype=np.int64)
-                keys, w = weights.of(text)
+                keys, w, _ = weights.of(text)
                 h1.append(int(digest[0]))
                 h2.append(int(digest[1]))
                 bands.append(bands_of(draw(keys, w)) if len(keys) else [])
@@ -213,39 +215,120 @@ def text_links(nodes: DataFrame, texts: DataFrame, shared, threshold: float = TH
     bands = nodes.select("node", F.explode("bands").alias("key"))
     first = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     bands = stored(bands.join(first, "key"), "dedup-bands")  # only bands that two or more share
+    shared_by = bands.select("node").distinct()
+    texts = stored(texts.join(shared_by, "node", "left_semi"), "dedup-texts")
     pairs = bands.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     tried = stored(compared(pairs, texts, shared), "dedup-pairs")
     links = tried.where(F.col("sim") >= threshold)
     linked = stored(components(links), "dedup-components")
 
-    # how near each member is to its band's smallest one
-    near = tried.select(F.col("a").alias("node"), F.col("b").alias("hub"), "sim")
-    members = bands.join(near, ["node", "hub"], "left").withColumn("sim", F.coalesce("sim", F.lit(1.0))).drop("hub")
-    members = stored(members, "dedup-members")
-    while True:
-        now = members.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = now.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi")
-        left = stored(now.join(apart.select("key", "_n"), "key"), "dedup-left")
-        # in a large band some members are centres now and leave it afterwards
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
-        centres = left.where(F.col("_n") > ALL_PAIRS).withColumn("_r", rank).where(F.col("_r") <= CENTRES).drop("_r")
-        centres = stored(centres.unionByName(left.where(F.col("_n") <= ALL_PAIRS)), "dedup-centres")
-        x = centres.select("key", F.col("node").alias("b"), F.col("component").alias("_cb"), F.col("sim").alias("_sb"))
-        y = left.select("key", F.col("node").alias("a"), F.col("component").alias("_ca"), F.col("sim").alias("_sa"))
-        pairs = y.join(x, "key").where((F.col("_ca") != F.col("_cb")) & (F.abs(F.col("_sa") - F.col("_sb")) <= 1 - threshold + 1e-9))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = stored(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "dedup-further")
-        if not pairs.isEmpty():
-            more = stored(compared(pairs, texts, shared), "dedup-pairs")
-            tried = tried.unionByName(more)
-            found = more.where(F.col("sim") >= threshold)
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                linked = stored(components(links), "dedup-components")
-        members = left.where(F.col("_n") > ALL_PAIRS).join(centres.select("key", "node"), ["key", "node"], "left_anti").select("key", "node", "sim")
-        members = stored(members, "dedup-members")
-        if members.isEmpty():
-            return linked
+    members = bands.select("key", "node")
+    small = apart(members, linked, "n <= {}".format(SMALL))
+    x, y = (small.select("key", F.col("node").alias(n), F.col("component").alias(f"_{n}")) for n in "ab")
+    pairs = x.join(y, "key").where("a > b AND _a <> _b").select("a", "b").distinct()
+    pairs = stored(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "dedup-further")
+    links = links.select("a", "b").unionByName(compared(pairs, texts, shared).where(F.col("sim") >= threshold).select("a", "b"))
+    links = stored(links, "dedup-links")
+    linked = stored(components(links), "dedup-components")
+
+    large = stored(apart(members, linked, "n > {}".format(SMALL)), "dedup-large")
+    found = stored(block_links(large, texts, shared, threshold), "dedup-blocks")
+    return stored(components(links.unionByName(found)), "dedup-components")
+
+
+def apart(members: DataFrame, linked: DataFrame, size: str) -> DataFrame:
+    """(key, node, component, outside) of the bands of that size that hold several components.
+
+    Of bands with the same members one is enough. `outside` are those not in the band's largest
+    component: any pair across components has at least one of them.
+    """
+    now = members.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    per = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
+    bands = per.groupBy("key").agg(
+        F.count(F.lit(1)).alias("many"), F.sum("c").alias("n"), F.sum("h").alias("h"), F.max(F.struct("c", "component"))["component"].alias("main")
+    )
+    one = bands.where("many > 1").where(size).groupBy("n", "h").agg(F.min(F.struct("key", "main")).alias("k")).select("k.*")
+    return now.join(one, "key").select("key", "node", "component", (F.col("component") != F.col("main")).alias("outside"))
+
+
+def block_links(large: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
+    """(node, root): links across components within large bands, as a forest in each block.
+
+    A block is a slice of the members outside the band's largest component against a slice of all
+    members. A task holds two slices; what it returns is not more than it got.
+    """
+    slices = large.groupBy("key").agg(
+        F.ceil(F.sum(F.col("outside").cast("int")) / SLICE).cast("int").alias("_x"), F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("_y")
+    )
+    placed = large.join(slices, "key")
+    mine = F.pmod(F.xxhash64("node"), F.col("_y")).cast("int")
+    rows = placed.select("key", "node", "component", F.lit(False).alias("centre"), mine.alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_x") - 1)).alias("_i"))
+    centre = F.pmod(F.xxhash64(F.lit("centre"), "node"), F.col("_x")).cast("int")
+    more = placed.where("outside").select(
+        "key", "node", "component", F.lit(True).alias("centre"), F.explode(F.sequence(F.lit(0), F.col("_y") - 1)).alias("_j"), centre.alias("_i")
+    )
+    wide = rows.unionByName(more).join(texts, "node").select("key", "_i", "_j", "node", "component", "centre", "text")
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        weights = shared.value
+        centre = df["centre"].to_numpy()
+        if not centre.any() or centre.all():
+            return pd.DataFrame({"node": [], "root": []}, dtype="int64")
+        sets = [leveled(*weights.of(t)) for t in df["text"]]
+        sims = all_similarities([x for x, c in zip(sets, centre, strict=True) if c], [x for x, c in zip(sets, centre, strict=True) if not c])
+        component, node = df["component"].to_numpy(), df["node"].to_numpy()
+        hit = (sims >= threshold) & (component[centre][:, None] != component[~centre][None, :])
+        root: dict[int, int] = {}
+
+        def top(i):
+            while root.setdefault(i, i) != i:
+                root[i] = i = root.setdefault(root[i], root[i])
+            return i
+
+        out = []
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            a, b = int(node[centre][i]), int(node[~centre][j])
+            if top(int(component[centre][i])) != top(int(component[~centre][j])):
+                root[top(int(component[centre][i]))] = top(int(component[~centre][j]))
+                out.append((max(a, b), min(a, b)))
+        return pd.DataFrame(out, columns=["a", "b"]).rename(columns={"a": "node", "b": "root"}).astype("int64")
+
+    return wide.groupBy("key", "_i", "_j").applyInPandas(run, "node long, root long").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def leveled(keys: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A weighted set as plain features: a shingle found k times is k features of its single weight.
+
+    The weight that two texts share is then that of their common features.
+    """
+    key, level = np.repeat(keys, counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return key ^ (level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.repeat(weights / counts, counts)
+
+
+def all_similarities(xs: list, ys: list, columns: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarities of two lists of feature sets, by products of narrow dense blocks."""
+    keys = np.concatenate([k for k, _ in [*xs, *ys]])
+    owner = np.repeat(np.arange(len(xs) + len(ys)), [len(k) for k, _ in [*xs, *ys]])
+    weight = np.concatenate([w for _, w in [*xs, *ys]])
+    order = np.argsort(keys, kind="stable")
+    keys, owner, weight = keys[order], owner[order], weight[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    runs = np.diff(np.append(first, len(keys)))
+    total = np.bincount(owner, weights=weight, minlength=len(xs) + len(ys))
+    column = np.repeat(np.cumsum(runs > 1) - 1, runs)
+    common = np.repeat(runs > 1, runs)  # features of one text alone add to its total only
+    column, owner, weight = column[common], owner[common], weight[common]
+    shared = np.zeros((len(xs), len(ys)))
+    edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + columns, columns))
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        if hi > lo:
+            dense = np.zeros((len(total), columns))
+            at = column[lo:hi] - column[lo] // columns * columns
+            dense[owner[lo:hi], at] = 1.0
+            by = np.zeros(columns)
+            by[at] = weight[lo:hi]
+            shared += (dense[: len(xs)] * by) @ dense[len(xs) :].T
+    return shared / (total[: len(xs), None] + total[None, len(xs) :] - shared)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
