@@ -80,3 +80,23 @@ def tokenizer(name: str):
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Tokenizer.from_file(vocabulary(name))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte.
+
+    Printable bytes of Latin-1 stand for themselves, the others for U+0100 and on in their order.
+    """
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {**{b: chr(b) for b in own}, **{b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(own)))}}
+
+
+class PieceModel:
+    """Asks the library's model for single pieces, without the cost of a whole encoding."""
+
+    def __init__(self, tok):
+        self.model = tok.model
+        self.letters = _byte_letters()
+
+    def __call__(self, piece: str) -> list:
+        return self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))

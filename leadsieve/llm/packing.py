@@ -13,7 +13,6 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadsieve.llm.common import id_type, map_batches, small_batches, stored, texts_of, tokenizer
+from leadsieve.llm.common import PieceModel, id_type, map_batches, small_batches, stored, texts_of, tokenizer
 
 CAPACITY = 4096
 #: Lengths above this share of the capacity are grouped; the others fill gaps.
@@ -30,7 +29,7 @@ LARGE = 1 / 8
 GROUPS = 256
 #: Pieces of one length that are ranked together; more of them are ranked in several slices.
 RANKED_TOGETHER = 1000
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 # ---------------------------------------------------------------- token ids
@@ -39,16 +38,16 @@ CACHE = 400_000
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
+_PIECE = re.compile(rf"[{_LETTER}]+|[{_DIGIT}]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{_LETTER}{_DIGIT}]+")
 
 
 class _Known(dict):
     def __init__(self, tok):
         super().__init__()
-        self.tok = tok
+        self.ask = PieceModel(tok)
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self[piece] = tuple(self.tok.encode(piece, add_special_tokens=False).ids)
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = np.array([t.id for t in self.ask(piece)], dtype="<u4").tobytes()
         return ids
 
 
@@ -65,7 +64,7 @@ class Encoder:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
         if len(self.known) > CACHE:
             self.known.clear()
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, _PIECE.findall(text.lower()))), dtype="<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, _PIECE.findall(text.lower()))), dtype="<u4")
 
 
 def token_pieces(

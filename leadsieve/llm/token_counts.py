@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadsieve.llm.common import id_type, map_batches, texts_of, tokenizer
+from leadsieve.llm.common import PieceModel, id_type, map_batches, texts_of, tokenizer
 
 #: Texts with more characters than this are encoded in chunks.
 HUGE = 32_768
 CHUNK = 16_384
 OVERLAP = 256
 #: Tokens of distinct pieces kept by a worker.
-CACHE = 400_000
+CACHE = 1_000_000
 
 #: White space that every Unicode version knows, after a character that is surely none.
 PROVEN = re.compile(r"(?<=[^\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff])[ \t\r\n]")
@@ -35,7 +35,7 @@ _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027\u2030-\u205e\u20
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECE = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^\s{_LETTER}{_DIGIT}]+|\s+(?!\S)|\s+"
+    rf" ?[{_LETTER}]+| ?[{_DIGIT}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{_LETTER}{_DIGIT}]+|\s+(?!\S)|\s+"
 )
 
 
@@ -108,10 +108,10 @@ class _Known(dict):
 
     def __init__(self, tok):
         super().__init__()
-        self.tok = tok
+        self.ask = PieceModel(tok)
 
     def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self.tok.encode(piece, add_special_tokens=False).ids)
+        n = self[piece] = len(self.ask(piece))
         return n
 
 
