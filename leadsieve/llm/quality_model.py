@@ -21,7 +21,8 @@ CHUNK, STRIDE = 256, 192
 #: Bound of the learning sample: texts of each label, bytes of a text that may be among them, and
 #: chunks of a text that an epoch looks at, drawn anew each time. Scores look at all chunks.
 PER_LABEL, LONGEST, CHUNKS = 1500, 40_000, 12
-EPOCHS, RATE = 10, 0.02
+#: Epochs, or as many as it takes for that number of steps where few texts are labelled.
+EPOCHS, STEPS, RATE = 10, 300, 0.02
 FOLDS = 5
 THRESHOLD = 0.3
 _BLOCK = 512  # chunks convolved at once
@@ -87,10 +88,11 @@ def learn(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     all_chunks = [chunks_of(x.encode("utf-8", "surrogatepass")) for x in texts]
     y = np.array(labels, dtype=np.float32)
     state = [np.zeros_like(filters), np.zeros_like(filters), np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0]
-    step = 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
-        for batch in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 64)):
+    step, batches = 0, max(1, len(texts) // 64)
+    epochs = max(EPOCHS, -(-STEPS // batches))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
+        for batch in np.array_split(rng.permutation(len(texts)), batches):
             step += 1
             drawn = [c if len(c) <= CHUNKS else c[rng.choice(len(c), CHUNKS, replace=False)] for c in (all_chunks[i] for i in batch)]
             counts = np.array([len(c) for c in drawn])

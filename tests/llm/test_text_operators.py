@@ -137,7 +137,8 @@ def test_secret_digest_and_redaction(odd, empty, make):
     assert row.spans == "assign:2:20,hex:24:56" and row.base_sha256 == hashlib.sha256(row.spans.encode()).hexdigest()
     assert secret_scan.redact(make([(1, text)])).first().text == 'x [SECRET]" y [SECRET]'
     assert secret_scan.find_secrets(odd).count() == len(ODD) and secret_scan.find_secrets(empty).count() == 0
-    assert sorted(map(str, secret_scan.redact(odd).collect())) == sorted(map(str, odd.collect()))
+    want = [(x[0], "[SECRET]" if x[0] == 7 else x[1]) for x in ODD]  # 7 is one long run of hex digits
+    assert sorted(map(str, [(r.doc_id, r.text) for r in secret_scan.redact(odd).collect()])) == sorted(map(str, want))
     assert secret_scan.redact(empty).columns == empty.columns
 
 
