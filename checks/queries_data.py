@@ -424,9 +424,11 @@ def column_search(spark, sf_dir):
 @register(
     "run_verdict",
     """SELECT strftime(run_at, '%Y-%m-%dT%H:%M:%SZ') AS run_at, n_rows AS rows,
-      coalesce(lag(n_rows) OVER (ORDER BY run_at), -1) AS previous_rows,
+      coalesce(before, -1) AS previous_rows,
       CASE WHEN error <> '' THEN 'FAILED' WHEN n_rows = 0 THEN 'EMPTY' WHEN missing_columns > 0 THEN 'COLS'
-        WHEN n_rows < 0.4 * lag(n_rows) OVER (ORDER BY run_at) THEN 'THIN' ELSE 'ok' END AS verdict FROM run_row""",
+        WHEN n_rows < 0.4 * before THEN 'THIN' ELSE 'ok' END AS verdict
+    FROM (SELECT r.*, (SELECT arg_max(p.n_rows, p.run_at) FROM run_row p WHERE p.run_at < r.run_at AND p.n_rows > 0 AND coalesce(p.error, '') = '') AS before
+      FROM run_row r)""",
 )
 def run_verdict(spark, sf_dir):
     rows = quality.run_verdict(crm.run_rows(spark, sf_dir))
@@ -440,8 +442,7 @@ def run_verdict(spark, sf_dir):
     FROM run_row QUALIFY lag(n_rows) OVER (ORDER BY run_at) IS NOT NULL""",
 )
 def run_lag(spark, sf_dir):
-    rows = quality.run_verdict(crm.run_rows(spark, sf_dir)).filter(F.col("previous_rows").isNotNull())
-    return texts(rows.select("run_at", (F.col("rows") - F.col("previous_rows")).alias("change")))
+    return texts(quality.run_changes(crm.run_rows(spark, sf_dir)))
 
 
 @register(

@@ -160,6 +160,7 @@ def manual_dials_today(leads: DataFrame, call_log: DataFrame, clock: Clock) -> D
             local_date(instant_from_text(F.col("created_at"), ISO_INSTANT_PREFIX)) == clock.today_col()
         )
         .select(phone_key(F.col("call_to")).alias("ph10"))
+        .filter("ph10 <> ''")  # an unknown number matches no lead
         .distinct()
     )
     phones = leads.select("lead_id", phone_key(F.col("customer_phone_number")).alias("ph10"))

@@ -178,6 +178,8 @@ def tl_pick(
     first = top_in_group(rows, ["tl_email", "category"], best, per_category, "pick_rank").withColumn(
         "pick_pass", F.lit(1)
     )
+    # the total holds for the first pass too, should it be less than all categories together
+    first = top_in_group(first, ["tl_email"], best, per_tl, "_place").drop("_place")
     taken = first.select("tl_email", "lead_id")
     left = rows.join(F.broadcast(taken) if fits_broadcast(taken) else taken, ["tl_email", "lead_id"], "left_anti")
     late = [("days_overdue", "desc_nulls_last"), ("created_at", "desc_nulls_last"), ("lead_id", "asc")]

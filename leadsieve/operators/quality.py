@@ -91,12 +91,14 @@ def column_search(df: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
 
 
 def run_verdict(runs: DataFrame) -> DataFrame:
-    """Verdict of each run from its rows and those of the run before.
+    """Verdict of each run from its rows and those of the last run before it that had any.
 
-    `runs` has a few rows per day, so ordering it whole is cheap.
+    A failed or empty run sets no standard: after one, a thin run is still thin. `runs` has a few
+    rows per day, so ordering it whole is cheap.
     """
-    before = F.lag("rows").over(Window.orderBy("run_at"))
     failed = null_to_blank(F.col("error")) != ""
+    earlier = Window.orderBy("run_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(~failed & (F.col("rows") > 0), F.col("rows")), ignorenulls=True).over(earlier)
     verdict = (
         F.when(failed, "FAILED")
         .when(F.col("rows") == 0, "EMPTY")
@@ -107,6 +109,12 @@ def run_verdict(runs: DataFrame) -> DataFrame:
     return runs.withColumn("previous_rows", before).withColumn("verdict", verdict)
 
 
+def run_changes(runs: DataFrame) -> DataFrame:
+    """(run_at, change): rows of each run against the run just before it, whatever its verdict."""
+    before = F.lag("rows").over(Window.orderBy("run_at"))
+    return runs.select("run_at", (F.col("rows") - before).alias("change")).filter(F.col("change").isNotNull())
+
+
 def mail_set(df: DataFrame, column: str = "lrm_email") -> DataFrame:
     return df.select(blank_to_null(F.col(column)).alias("lrm_email")).filter(F.col("lrm_email").isNotNull()).distinct()
 

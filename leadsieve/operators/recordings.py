@@ -38,9 +38,14 @@ def inventory(listing: DataFrame) -> DataFrame:
 
 
 def orphaned(recordings: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Recordings that no review points at."""
-    linked = reviews.select(F.col("recording_url").alias("path")).filter(F.col("path") != "").distinct()
-    return recordings.join(linked, "path", "left_anti")
+    """Recordings that no review points at.
+
+    The listing has paths of one store and the log has public addresses, so both are compared from
+    the `recordings/` folder on.
+    """
+    tail = lambda c: F.regexp_extract(c, STORED, 0)
+    linked = reviews.select(tail("recording_url").alias("_tail")).filter(F.col("_tail") != "").distinct()
+    return recordings.withColumn("_tail", tail("path")).join(linked, "_tail", "left_anti").drop("_tail")
 
 
 def of_leads(recordings: DataFrame, leads: DataFrame) -> DataFrame:

@@ -26,14 +26,12 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
 
 def restrict_to(facts: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Drop fact rows whose key is not in `ids`, when that costs no shuffle.
+    """The fact rows whose key is in `ids`, whatever their sizes.
 
-    Beyond the broadcast limit the facts come back whole: the caller aggregates them by the
-    key first (map-side combine absorbs a hot key) and its join with `ids` does the dropping.
+    Ids below the limit are broadcast; beyond it both sides are shuffled on the key, on which the
+    callers aggregate next, and the adaptive skew join cuts a hot key.
     """
-    if fits_broadcast(ids, limit):
-        return facts.join(F.broadcast(ids), key, "left_semi")
-    return facts
+    return facts.join(F.broadcast(ids) if fits_broadcast(ids, limit) else ids, key, "left_semi")
 
 
 def lookup_join(

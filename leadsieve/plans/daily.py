@@ -56,7 +56,7 @@ def export_day(
             snapshot.append_log(today, f"{root}/queue_log", run_at)
             snapshot.drop_expired(spark, f"{root}/queue_log", clock)
     except Exception as error:
-        log_run(0, str(error)[:900] or type(error).__name__)
+        log_run(0, str(error) or type(error).__name__)
         raise
     return log_run(rows, "")
 

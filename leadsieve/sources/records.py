@@ -69,9 +69,21 @@ def read_card_json(spark: SparkSession, path: str, schema: StructType | None = N
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """Header row plus ragged rows, every cell text, absent cells blank, empty rows dropped."""
-    df = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
-    return df.toDF(*[c.strip() for c in df.columns]).fillna("")
+    """Header row plus ragged rows, every cell text, absent cells blank, blank rows dropped.
+
+    Cells follow RFC 4180: quoted ones may hold commas, doubled quotes and line breaks. A file with
+    line breaks in cells can't be split, so each file is one task.
+    """
+    df = _csv(spark).option("header", True).option("inferSchema", False).csv(path)
+    return _not_blank(df.toDF(*[c.strip() for c in df.columns]).fillna(""))
+
+
+def _csv(spark: SparkSession):
+    return spark.read.option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"').option("multiLine", True)
+
+
+def _not_blank(df: DataFrame) -> DataFrame:
+    return df.filter(F.trim(F.concat(*df.columns)) != "")
 
 
 def read_positional(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -79,7 +91,7 @@ def read_positional(spark: SparkSession, path: str, schema: StructType) -> DataF
 
     A stored header row, recognised by its `lead_id` cell, is dropped.
     """
-    df = spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE").csv(path).fillna("")
+    df = _not_blank(_csv(spark).schema(schema).option("header", False).csv(path).fillna(""))
     names = F.array(*[F.lower(F.trim(c)) for c in df.columns])
     return df.filter(~F.array_contains(names, "lead_id"))
 
