@@ -310,7 +310,11 @@ def main_text(page: str, weights: np.ndarray) -> str:
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", n: int = SAMPLE_PAGES, longest: int = SAMPLE_BYTES) -> np.ndarray:
     """Weights from at most `n` pages of at most `longest` bytes, the first by a hash of id and page."""
     rows = pages.select(F.col(html_col).alias("html"), F.xxhash64(id_col, html_col).alias("k")).where(F.octet_length("html") <= longest)
-    found = rows.orderBy("k", "html").limit(n).collect()
+    # the cut is found on the hashes alone: a limit on whole pages would send `n` pages from every task
+    last = rows.select("k").orderBy("k").limit(n).agg(F.max("k")).first()[0]
+    if last is None:
+        return DEFAULT
+    found = rows.where(F.col("k") <= last).groupBy("k").agg(F.min("html").alias("html")).collect()
     return learn(sorted(r["html"] for r in found))
 
 
