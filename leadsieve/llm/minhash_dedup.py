@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadsieve.llm.common import WORD, map_batches, small_batches, stored, texts_of
+from leadsieve.llm.common import map_batches, small_batches, stored, texts_of
 from leadsieve.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -38,25 +38,70 @@ DF_BUCKETS, SPREAD = 1 << 18, 0.25
 SMALL, SLICE = 8, 128
 
 _M = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a hash that choose a row in a table of random numbers.
+_PART = 13
 
 
-class _WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return h
+#: Base of the running hash of bytes and its inverse (modulo 2^64), and the bytes hashed at once.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_BLOCK = 1 << 18
 
 
-_WORDS = _WordHash()
+@lru_cache(maxsize=1)
+def _byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte, whether it is part of a word, and powers of base and inverse."""
+    rng = np.random.default_rng(11)
+    values = rng.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    inside = np.ones(256, dtype=bool)
+    inside[[0x20, *range(0x09, 0x0E)]] = False
+    powers = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(_BLOCK + 1, base, dtype=np.uint64)
+        steps[0] = 1
+        powers.append(np.multiply.accumulate(steps))
+    return values, inside, powers[0], powers[1]
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word in order.
+
+    One running sum of byte * base^place over the text; a word is the difference of two sums, moved
+    back to place 0. Blanks are single bytes of UTF-8. Long texts go block by block, and a word may
+    cross any number of blocks.
+    """
+    values, inside, up, down = _byte_tables()
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    one, sums, moves, ends = 1 << 64, [], [], []
+    total, power, inverse, before = np.uint64(0), 1, 1, False
+    for at in range(0, len(data), _BLOCK):
+        part = data[at : at + _BLOCK]
+        word = inside[part]
+        run = np.empty(len(part) + 1, dtype=np.uint64)
+        run[0] = total
+        np.cumsum(values[part] * (up[: len(part)] * np.uint64(power)), out=run[1:])
+        run[1:] += total
+        was = np.append(before, word[:-1])
+        start, end = np.flatnonzero(word & ~was), np.flatnonzero(was & ~word)
+        sums.append(run[start])
+        moves.append(down[start] * np.uint64(inverse))
+        ends.append(run[end])
+        total, before = run[-1], bool(word[-1])
+        power, inverse = power * int(up[len(part)]) % one, inverse * int(down[len(part)]) % one
+    if before:
+        ends.append(np.array([total], dtype=np.uint64))
+    if not sums:
+        return np.empty(0, dtype=np.uint64)
+    h = (np.concatenate(ends) - np.concatenate(sums)) * np.concatenate(moves)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
 
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and counts of the distinct shingles; a text of fewer words has one of all its words."""
-    words = WORD.findall(text)
-    if not words:
+    h = word_hashes(text)
+    if not len(h):
         return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
     width = min(SHINGLE, len(h))
     key = np.zeros(len(h) - width + 1, dtype=np.uint64)
     for j in range(width):
@@ -90,38 +135,40 @@ def similarity(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
 
 
 @lru_cache(maxsize=1)
-def _tables(draws: int, seed: int = 5) -> list[np.ndarray]:
-    """Tabulated randomness: a shingle's numbers are sums over 12-bit parts of its hash.
+def _tables(draws: int, seed: int = 5) -> tuple[np.ndarray, ...]:
+    """Tabulated randomness: a shingle's numbers by 13-bit parts of its hash.
 
-    Two sums of two exponentials (the Gamma(2, 1) variates r and c) and one uniform (beta).
+    r and c are Gamma(2, 1) variates (kept as r, 1 / r and log c), beta is uniform.
     """
     rng = np.random.default_rng(seed)
-    return [*(rng.exponential(size=(4096, draws)).astype(np.float32) for _ in range(4)), *(rng.random((4096, draws), dtype=np.float32) for _ in range(2))]
+    shape = (1 << _PART, draws)
+    r, c, beta = rng.gamma(2.0, size=shape), rng.gamma(2.0, size=shape), rng.random(shape)
+    return tuple(x.astype(np.float32) for x in (r, 1.0 / r, np.log(c), beta))
 
 
 def draw(keys: np.ndarray, weights: np.ndarray, draws: int = BANDS * ROWS) -> np.ndarray:
     """The consistent weighted samples of one set: a hash of (shingle, level) for each draw."""
-    r1, r2, c1, c2, b1, b2 = _tables(draws)
+    rs, inverses, logs, betas = _tables(draws)
     best = np.full(draws, np.inf, dtype=np.float32)
     out = np.zeros(draws, dtype=np.uint64)
-    mask, twelve = np.uint64(4095), np.uint64(12)
-    for at in range(0, len(keys), 8192):
-        k, w = keys[at : at + 8192], weights[at : at + 8192]
-        parts = []
-        rest = k
-        for _ in range(5):
-            parts.append((rest & mask).astype(np.int64))
-            rest = rest >> twelve
-        r = r1[parts[0]] + r2[parts[1]]
-        c = c1[parts[2]] + c2[parts[3]]
-        beta = b1[parts[4]] + b2[parts[0] ^ parts[3]]
-        beta -= np.floor(beta)
-        level = np.floor(np.log(w).astype(np.float32)[:, None] / r + beta)
-        a = np.log(c) - r * (level - beta + 1)
-        i = a.argmin(axis=0)
-        cols = np.arange(draws)
-        better = a[i, cols] < best
-        best[better] = a[i, cols][better]
+    low, cols = np.uint64((1 << _PART) - 1), np.arange(draws)
+    for at in range(0, len(keys), 1024):  # the arrays of a step stay in the processor's cache
+        k = keys[at : at + 1024]
+        one, two, three = (((k >> np.uint64(i * _PART)) & low).astype(np.intp) for i in range(3))
+        r = rs.take(one, axis=0)
+        beta = betas.take(three, axis=0)
+        level = inverses.take(one, axis=0)
+        level *= np.log(weights[at : at + 1024]).astype(np.float32)[:, None]
+        level += beta
+        np.floor(level, out=level)
+        beta -= level
+        beta -= 1
+        beta *= r
+        beta += logs.take(two, axis=0)  # log c - r (level - beta + 1)
+        i = beta.argmin(axis=0)
+        a = beta[i, cols]
+        better = a < best
+        best[better] = a[better]
         out[better] = ((k[i] ^ (level[i, cols].astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * _M)[better]
     return out
 
@@ -147,7 +194,7 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, in
             for text in texts_of(batch, "text"):
                 keys, _ = shingles(text)
                 n += 1
-                df[np.unique(((keys >> np.uint64(20)) & np.uint64(DF_BUCKETS - 1)).astype(np.int64))] += 1
+                df[((keys >> np.uint64(20)) & np.uint64(DF_BUCKETS - 1)).astype(np.int64)] += 1  # a bucket once, however often it is named
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["bucket", "n"])
 

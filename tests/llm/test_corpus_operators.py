@@ -155,6 +155,25 @@ def test_block_similarities():
     assert np.allclose(got, want)
 
 
+def test_word_hashes(monkeypatch):
+    """One hash for one word, whatever the block size and the place; blanks as in the pattern of words."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab\u00e9 \t\n\x0b\x1c\u65e5\ud800") for _ in range(n)) for n in range(150)]
+    texts += ["", " \r\f", "x" * 500, " ".join(map(str, range(5000)))]
+    whole = [minhash_dedup.word_hashes(t).tolist() for t in texts]
+    found = {}
+    for text, hashes in zip(texts, whole, strict=True):
+        words = WORD.findall(text)
+        assert len(words) == len(hashes)
+        assert all(found.setdefault(w, h) == h for w, h in zip(words, hashes, strict=True))
+    assert len(set(found.values())) == len(found)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(minhash_dedup, "_BLOCK", size)
+        minhash_dedup._byte_tables.cache_clear()
+        assert [minhash_dedup.word_hashes(t).tolist() for t in texts] == whole
+    minhash_dedup._byte_tables.cache_clear()
+
+
 def test_draws_agree_as_often_as_texts_do():
     rng, weights = random.Random(2), minhash_dedup.Weights(np.zeros(minhash_dedup.DF_BUCKETS), 10)
     same = want = 0.0
