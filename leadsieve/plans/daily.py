@@ -27,9 +27,9 @@ def export_day(
 
     The queue, built here or read from a report, is computed once: it is staged, and the day
     and the log are written from the staged rows. Columns that did not come back are written
-    blank. With `first_of_day` a day that is already kept stays as it is; otherwise it is
+    blank. With `first_of_day` a day that is already in the log stays as it is; otherwise it is
     replaced. An empty run leaves the last queue in place and logs no rows. A run that
-    throws is logged with its message before the error goes on.
+    throws is logged, with its message and the rows that reached the log, before the error goes on.
     """
     spark, run_at = queue.sparkSession, exported_at or clock.as_of
     begun = fetched = written = time.monotonic()
@@ -42,8 +42,10 @@ def export_day(
         run.write.mode("append").parquet(f"{root}/run_log")
         return run
 
+    logged = 0
     try:
-        if first_of_day and day_rows(snapshot.read_kept(spark, f"{root}/queue"), clock):
+        # the log is written last, so a day in it is whole; a day in the queue alone is done again
+        if first_of_day and day_rows(snapshot.read_kept(spark, f"{root}/queue_log"), clock):
             return log_run(day_rows(snapshot.read_kept(spark, f"{root}/queue"), clock), "")
         staged = f"{root}/staging/{clock.today.isoformat()}"
         snapshot.fill_missing(queue, expected).write.mode("overwrite").parquet(staged)
@@ -54,9 +56,10 @@ def export_day(
             snapshot.replace_day(today, f"{root}/queue")
             written = time.monotonic()
             snapshot.append_log(today, f"{root}/queue_log", run_at)
+            logged = rows
             snapshot.drop_expired(spark, f"{root}/queue_log", clock)
     except Exception as error:
-        log_run(0, str(error) or type(error).__name__)
+        log_run(logged, str(error) or type(error).__name__)
         raise
     return log_run(rows, "")
 

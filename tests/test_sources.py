@@ -156,6 +156,30 @@ def test_failed_run_and_lost_column_are_logged(spark, tmp_path):
     assert [x.verdict for x in runs] == ["FAILED", "COLS"]
 
 
+def test_run_that_fails_late(spark, tmp_path, monkeypatch):
+    root, (one, two, three) = str(tmp_path), (CLOCK.as_of + timedelta(hours=h) for h in (1, 2, 3))
+    queue = build_queue(lead_tables(spark, 5), CLOCK)
+
+    def broken(*args):
+        raise OSError("disk gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(snapshot, "append_log", broken)
+        with pytest.raises(OSError):
+            export_day(queue, CLOCK, root, exported_at=one)
+    # the day never reached the log, so a first-of-day run does it again
+    with monkeypatch.context() as m:
+        m.setattr(snapshot, "drop_expired", broken)
+        with pytest.raises(OSError):
+            export_day(queue, CLOCK, root, exported_at=two, first_of_day=True)
+    assert spark.read.parquet(f"{root}/queue_log").count() == 5
+    # now it is there, although the clean-up failed
+    assert export_day(queue, CLOCK, root, exported_at=three, first_of_day=True).first().rows == 5
+    assert spark.read.parquet(f"{root}/queue_log").count() == 5
+    runs = spark.read.parquet(f"{root}/run_log").orderBy("run_at").collect()
+    assert [(x.rows, x.error) for x in runs] == [(0, "disk gone"), (5, "disk gone"), (5, "")]
+
+
 def test_write_once(spark, tmp_path):
     path = str(tmp_path / "q")
     days = spark.sql("SELECT DATE'2026-08-01' + CAST(id AS INT) AS audit_date, 'a' AS run FROM range(3)")
