@@ -6,9 +6,10 @@ dropped if a kept one is `ALPHA` times nearer to it than the node is); the adjac
 node got in its shards are united. Each node is then searched for in its home shard: a greedy beam
 from the shard's medoid, and from the node itself, finds the region, and the range is expanded over
 all nodes that are near enough or nearly so. Links are verified by cosine in double precision, and a
-link that only one end can see counts for both. Recall is audited against brute force; if it is too
-low, everything is done again with more shards for each node. Within the components found, links are
-then counted in full.
+link that only one end can see counts for both. Recall is audited against brute force, on nodes drawn
+from every group; groups where it is too low are done again with more shards for each node. Groups where
+it stays too low, or where the drawn nodes have no link to measure by, are compared in full. Within the
+components found, links are then counted in full.
 
 A shard with too many nodes is cut into slices, and every two slices are one task: no pair is lost,
 and no task holds more than two slices.
@@ -33,7 +34,7 @@ PER_PIVOT, OVERLAP, SLICE = 300, 4, 3000
 MOST_PIVOTS = 1024
 DEGREE, POOL, ALPHA = 16, 48, 1.2
 BEAM, SLACK = 16, 0.06
-#: Nodes of the audit, and the recall below which shards overlap more.
+#: Nodes of the audit from each group, and the recall below which its shards overlap more.
 AUDITED, RECALL, ATTEMPTS = 500, 0.98, 3
 
 log = logging.getLogger(__name__)
@@ -257,30 +258,63 @@ def recounted(nodes: DataFrame, linked: DataFrame, threshold: float, slice_size:
     return each.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, seen: DataFrame, threshold: float, audited: int = AUDITED) -> float:
-    """Share of the true links of some nodes that were found; brute force against all nodes, in blocks.
+def merged(labels: np.ndarray, first: int, hit: np.ndarray) -> np.ndarray:
+    """`labels` once row `first + i` has the label of every column that row i of `hit` marks."""
+    for i in np.flatnonzero(hit.any(axis=1)):
+        some = np.unique(np.append(labels[hit[i]], labels[first + i]))
+        if len(some) > 1:
+            labels = np.where(np.isin(labels, some), some[0], labels)
+    return labels
 
-    At most `audited` nodes are broadcast, those with the first ids among the ids divisible by 20.
+
+def compared(nodes: DataFrame, threshold: float, slice_size: int) -> DataFrame:
+    """(node, links, root) from every pair of every group, two slices to a task: no graph, nothing missed."""
+    tasks = tasks_of(nodes.withColumn("shards", F.array(F.lit(0))), slice_size).select("task", "node", "embedding", "copies", "slice")
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        x, ids, copies, slices = unit(df["embedding"]), df["node"].to_numpy(), df["copies"].to_numpy(), df["slice"].to_numpy()
+        two = len(set(slices.tolist())) > 1
+        links, labels = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        for at in range(0, len(x), 512):
+            part = slice(at, at + 512)
+            hit = x[part] @ x.T >= threshold
+            hit[np.arange(len(hit)), np.arange(at, at + len(hit))] = False
+            if two:
+                hit &= slices[part, None] != slices[None, :]
+            links[part] = hit @ copies
+            labels = merged(labels, at, hit)
+        some = links > 0
+        return pd.DataFrame({"node": ids[some], "links": links[some], "root": ids[labels][some]})
+
+    return tasks.groupBy("task").applyInPandas(run, "node long, links long, root long")
+
+
+def audit(nodes: DataFrame, seen: DataFrame, threshold: float, audited: int = AUDITED, slice_size: int = SLICE) -> DataFrame:
+    """(grp, recall): share of the true links of some nodes of each group that were found.
+
+    About `audited` nodes of every group, drawn by hash, are compared with all nodes of the group, in
+    blocks. `recall` is NULL if they have no true link and are not the whole group: nothing was measured.
     """
-    chosen = nodes.where("node % 20 = 0").orderBy("node").limit(audited).select("node", "grp", "embedding").toPandas()
-    if not len(chosen):
-        return 1.0
-    by = {g: (d["node"].to_numpy(), unit(d["embedding"])) for g, d in chosen.groupby("grp")}
-    shared = nodes.sparkSession.sparkContext.broadcast(by)
+    sizes = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
+    sized = nodes.select("node", "grp", "embedding", "copies").join(sizes, "grp")
+    blocks = F.ceil(F.col("_n") / slice_size).cast("int")
+    drawn = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)) / (1 << 30) < F.lit(float(audited)) / F.col("_n")
+    asked = sized.where(drawn).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("asked", F.lit(True))
+    rest = sized.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), blocks).cast("int")).withColumn("asked", F.lit(False))
 
-    def run(frames):
-        queries = shared.value
-        for df in frames:
-            for grp, at in df.groupby("grp").indices.items():
-                if grp in queries:
-                    ids, q = queries[grp]
-                    part = df.iloc[at]
-                    hit = (unit(part["embedding"]) @ q.T >= threshold) & (part["node"].to_numpy()[:, None] != ids[None, :])
-                    yield pd.DataFrame({"node": ids, "links": part["copies"].to_numpy() @ hit})
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        q, part = df[df["asked"]], df[~df["asked"]]
+        if not len(q) or not len(part):
+            return pd.DataFrame({"node": [], "grp": [], "links": []})
+        hit = (unit(part["embedding"]) @ unit(q["embedding"]).T >= threshold) & (part["node"].to_numpy()[:, None] != q["node"].to_numpy()[None, :])
+        return pd.DataFrame({"node": q["node"], "grp": q["grp"], "links": part["copies"].to_numpy() @ hit})
 
-    true = nodes.select("node", "grp", "embedding", "copies").mapInPandas(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("true"))
-    row = true.join(seen, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("f")).first()
-    return 1.0 if not row["t"] else row["f"] / row["t"]
+    true = asked.unionByName(rest).groupBy("grp", "block").applyInPandas(run, "node long, grp string, links long")
+    true = true.groupBy("grp", "node").agg(F.sum("links").alias("true")).join(seen, "node", "left")
+    got = F.least("true", F.coalesce("links", F.lit(0)))
+    sums = true.groupBy("grp").agg(F.sum("true").alias("t"), F.sum(got).alias("f"), F.count(F.lit(1)).alias("c"))
+    recall = F.when(F.col("t") > 0, F.col("f") / F.col("t")).when(F.col("c") == F.col("_n"), F.lit(1.0))
+    return sizes.join(sums, "grp", "left").select("grp", recall.alias("recall"))
 
 
 def vector_links(
@@ -302,16 +336,29 @@ def vector_links(
     rows, nodes = nodes_of(vectors)
     rows, nodes = stored(rows, "vector-rows"), stored(nodes, "vector-nodes")
     pivots = pivots_of(nodes, per_pivot)
+    left, found, unsure = nodes, None, None
     for attempt in range(ATTEMPTS):
-        tasks = stored(tasks_of(sharded(nodes, pivots, overlap), slice_size), "vector-tasks")
+        tasks = stored(tasks_of(sharded(left, pivots, overlap), slice_size), "vector-tasks")
         adjacency = built(tasks).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        found = stored(searched(tasks, adjacency, threshold), "vector-links")
-        links = found.groupBy("node").agg(F.sum("links").alias("links"))
-        recall = audit(nodes, links, threshold)
-        log.info("recall %.4f with %d shards for each node", recall, overlap)
-        if recall >= wanted or attempt == ATTEMPTS - 1:
+        part = stored(searched(tasks, adjacency, threshold), "vector-links")
+        found = part if found is None else found.unionByName(part)
+        links = part.groupBy("node").agg(F.sum("links").alias("links"))
+        recall = stored(audit(left, links, threshold, slice_size=slice_size), "vector-recall")
+        low = recall.where(F.col("recall") < wanted).select("grp")
+        blind = recall.where("recall IS NULL").select("grp")
+        unsure = blind if unsure is None else unsure.unionByName(blind)
+        row = recall.agg(F.min("recall").alias("least"), F.count_if(F.col("recall") < wanted).alias("low")).first()
+        log.info("least recall of a group %s with %d shards for each node, %d groups too low", row["least"], overlap, row["low"])
+        if not row["low"]:
+            break
+        if attempt == ATTEMPTS - 1:
+            unsure = unsure.unionByName(low)
             break
+        left = stored(left.join(low, "grp", "left_semi"), "vector-left")
         overlap *= 2
+    if not unsure.isEmpty():
+        log.info("groups without a measured recall of %s are compared in full", wanted)
+        found = found.unionByName(stored(compared(nodes.join(unsure, "grp", "left_semi"), threshold, slice_size), "vector-compared"))
     linked = stored(components(found, "node", "root"), "vector-components")
     links = recounted(nodes, linked, threshold, slice_size)
     per_node = nodes.select("h1", "h2", "node", "copies").join(links, "node", "left").join(linked, "node", "left")

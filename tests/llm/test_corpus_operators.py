@@ -75,6 +75,23 @@ def test_vector_links(spark):
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in range(9000, 9006))
 
 
+def test_low_or_unmeasured_recall_is_made_up(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    lone = rng.normal(size=(600, 32))
+    far = rng.normal(size=(3, 32))
+    # the first 600 ids divisible by 20 have no links; label 1 has many more, label 2 a single one, and the search finds none
+    rows = [(20 * i, [float(x) for x in v], 1) for i, v in enumerate(lone)]
+    rows += [(100_001 + 20 * i + j, [float(x) for x in far[i % 3] + 0.01 * rng.normal(size=32)], 1) for i in range(60) for j in range(2)]
+    rows += [(200_000 + 20 * i, [float(x) for x in v], 2) for i, v in enumerate(rng.normal(size=(4000, 32)))]
+    rows += [(900_001 + j, [1.0] * 31 + [1.0 + j / 100], 2) for j in range(2)]
+    monkeypatch.setattr(vector_dedup, "ATTEMPTS", 1)
+    monkeypatch.setattr(vector_dedup, "searched", lambda tasks, adjacency, threshold: spark.createDataFrame([], "node long, links long, root long"))
+    got = {r.vec_id: r for r in vector_dedup.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[100_001 + 20 * i + j].n_links for i in range(60) for j in range(2)] == [39] * 120
+    assert len({got[100_001 + 20 * i].component_id for i in range(60)}) == 3
+    assert [(got[900_001 + j].n_links, got[900_001 + j].component_id) for j in range(2)] == [(1, 900_001)] * 2
+
+
 def test_no_vectors(spark):
     assert vector_dedup.vector_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     rows = [(None, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (3, [1.0, 0.0], 1)]
