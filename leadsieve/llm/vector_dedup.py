@@ -6,7 +6,8 @@ dropped if a kept one is `ALPHA` times nearer to it than the node is); the adjac
 node got in its shards are united. Each node is then searched for in its home shard: a greedy beam
 from the shard's medoid, and from the node itself, finds the region, and the range is expanded over
 all nodes that are near enough or nearly so. Links are verified by cosine in double precision, and a
-link that only one end can see counts for both. Recall is audited against brute force, on nodes drawn
+link that only one end can see counts for both. Nodes of a task that the search left in different
+components are compared exactly, so that no link within a shard is lost between them. Recall is audited against brute force, on nodes drawn
 from every group; groups where it is too low are done again with more shards for each node. Groups where
 it stays too low, or where the drawn nodes have no link to measure by, are compared in full. Within the
 components found, links are then counted in full.
@@ -212,7 +213,8 @@ def searched(tasks: DataFrame, adjacency: DataFrame, threshold: float) -> DataFr
                 i = root[i]
             return i
 
-        for q, found in neighbourhoods(unit(df["embedding"]), near, np.flatnonzero(home == shard), threshold):
+        x = unit(df["embedding"])
+        for q, found in neighbourhoods(x, near, np.flatnonzero(home == shard), threshold):
             if two:  # pairs of one slice belong to that slice's own task
                 found = found[slices[found] != slices[q]]
             links[q] += copies[found].sum()
@@ -222,7 +224,21 @@ def searched(tasks: DataFrame, adjacency: DataFrame, threshold: float) -> DataFr
                 a, b = top(q), top(y)
                 if a != b:
                     root[max(a, b)] = min(a, b)
-        roots = ids[[top(i) for i in range(len(ids))]]
+        # the graph may have no way between two tight groups: pairs of different components, exactly
+        whole = np.array([top(i) for i in range(len(ids))])
+        root, own, lists = whole, home == shard, np.stack(df["shards"].to_numpy())
+        for start in range(0, len(ids), 512):
+            part = slice(start, start + 512)
+            hit = (x[part] @ x.T >= threshold) & (whole[part, None] != whole[None, :])
+            if two:
+                hit &= slices[part, None] != slices[None, :]
+            i, j = np.nonzero(hit)
+            i, j = i[own[i + start]] + start, j[own[i + start]]
+            links += np.bincount(i, weights=copies[j], minlength=len(ids)).astype(np.int64)
+            unmet = ~(lists[i] == home[j][:, None]).any(axis=1)
+            links += np.bincount(j[unmet], weights=copies[i[unmet]], minlength=len(ids)).astype(np.int64)
+            root = merged(root, start, hit)
+        roots = ids[root]
         some = (links > 0) | (roots != ids)
         return pd.DataFrame({"node": ids[some], "links": links[some], "root": roots[some]})
 

@@ -92,6 +92,22 @@ def test_low_or_unmeasured_recall_is_made_up(spark, monkeypatch):
     assert [(got[900_001 + j].n_links, got[900_001 + j].component_id) for j in range(2)] == [(1, 900_001)] * 2
 
 
+def test_tight_groups_that_touch_are_one_component(spark):
+    rng = np.random.default_rng(3)
+    axes = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    turned = 0.955 * axes[0] + np.sqrt(1 - 0.955**2) * axes[1]
+    # 70 and 70 vectors in two tight groups at a cosine of about 0.95 to each other, and 200 far from both
+    centres = [axes[0]] * 70 + [turned] * 70 + [axes[2]] * 200
+    rows = [(i, [float(x) for x in c + 0.01 * rng.normal(size=64)], 1) for i, c in enumerate(centres)]
+    x = vector_dedup.unit([r[1] for r in rows])
+    near = x @ x.T >= vector_dedup.THRESHOLD
+    assert near[:70, 70:140].any()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vector_dedup.vector_links(df, wanted=0.0).collect()}
+    assert [got[i].n_links for i in range(340)] == (near.sum(axis=1) - 1).tolist()
+    assert {got[i].component_id for i in range(140)} == {0}
+
+
 def test_no_vectors(spark):
     assert vector_dedup.vector_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     rows = [(None, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (3, [1.0, 0.0], 1)]
