@@ -77,28 +77,89 @@ class Block:
         self.score = 0.0
 
 
-def _told(tag: str, attributes: str, inside_content: bool) -> tuple[float, int]:
-    """(gain of content over boilerplate, stated label or -1) of an element's own names."""
-    if tag in BOILERPLATE_TAGS or (tag == "header" and not inside_content):
-        return -TAG_COST, 0
+#: What an element's own tag and names say: nothing, content, boilerplate by name or as a form, boilerplate.
+PLAIN, CONTENT, NAMED, HARD = range(4)
+
+
+def _told(tag: str, attributes: str, inside_content: bool) -> tuple[int, float, float, int]:
+    """(kind, cost, gain, stated label or -1); gain and label hold where the cost does not."""
+    if (tag in BOILERPLATE_TAGS and tag != "form") or (tag == "header" and not inside_content):
+        return HARD, -TAG_COST, 0.0, 0
     gain, known = (CONTENT_GAIN, 1) if tag in CONTENT_TAGS else (0.0, -1)
+    cost = -TAG_COST if tag == "form" else 0.0
     if attributes and tag not in ("body", "html"):
         if _HIDDEN.search(attributes):
-            return -TAG_COST, 0
+            return HARD, -TAG_COST, 0.0, 0
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
         words = [w.lower() for w in _WORDS.findall(names)] if names else ()
         if any(w in BOILERPLATE_WORDS or w.startswith(tuple(BOILERPLATE_STEMS)) for w in words):
-            return -NAME_COST, 0
-        if any(w in CONTENT_WORDS for w in words):
+            cost = min(cost, -NAME_COST)
+        elif any(w in CONTENT_WORDS for w in words):
             gain = max(gain, CONTENT_GAIN / 2)
-    return gain, known
+    return NAMED if cost else CONTENT if gain else PLAIN, cost, gain, known
+
+
+class Mark:
+    """An element that tells something, with the text found under it."""
+
+    __slots__ = ("up", "tag", "kind", "cost", "gain", "stated", "hard", "text", "top", "main", "under", "free", "worst", "best", "known")
+
+    def __init__(self, up, tag, kind, cost, gain, stated, hard):
+        self.up, self.tag, self.kind, self.cost, self.gain, self.stated, self.hard = up, tag, kind, cost, gain, stated, hard
+        self.text = self.top = self.under = 0  # characters outside links: of the element, its longest content element, its content ancestors
+        self.main, self.free = False, True  # holds a <main>; stands under no name or form cost
+        self.worst, self.best, self.known = 0.0, 0.0, -1
+
+
+def _settle(marks: list[Mark]) -> None:
+    """Inherited costs, gains and labels, once the text under every element is known.
+
+    A name or form cost is not inherited from an element that wraps the page's content: one that holds
+    a <main>, or most of the page's text, or the longest content element and that a quarter of the text.
+    It is inherited all the same if a longer content element, of a tenth of the text or more, lies
+    elsewhere under no such cost. `text` comes with what stands directly in each element.
+    """
+    for m in reversed(marks[1:]):
+        if not m.hard:
+            marks[m.up].text += m.text
+    shown = [m for m in marks if not m.hard and m.gain and m.text]
+    # articles where there are any, else <main>, else elements named so
+    best = next((t for t in ("article", "main") if any(m.tag == t for m in shown)), None)
+    chosen = {id(m) for m in shown if best in (None, m.tag)}
+    for m in reversed(marks[1:]):
+        if not m.hard:
+            m.top = max(m.top, m.text if id(m) in chosen else 0.0)
+            m.main = m.main or m.tag == "main"
+            up = marks[m.up]
+            up.top, up.main = max(up.top, m.top), up.main or m.main
+    page, rival = marks[0], 0
+    for m in marks[1:]:
+        m.free = marks[m.up].free and m.kind != NAMED
+        if m.free and id(m) in chosen and 10 * m.text >= page.text:
+            rival = max(rival, m.text)
+    for m in marks[1:]:
+        up = marks[m.up]
+        m.under = max(up.under, m.text if id(m) in chosen else 0.0)
+        m.worst, m.best, m.known = up.worst, up.best, up.known
+        cost = m.cost
+        if m.kind == NAMED:
+            holds = 2 * m.text > page.text or (m.top >= page.top and 4 * m.top >= page.text > 0)
+            if m.main or (holds and max(m.top, m.under) >= rival):
+                cost = 0.0
+        if cost:
+            m.worst, m.known = min(m.worst, cost), 0
+        else:
+            m.best = max(m.best, m.gain)
+            m.known = 0 if m.known == 0 else max(m.known, m.stated)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in page order, character references decoded, white space folded."""
     out: list[Block] = []
-    # tag, element number, least gain so far (once boilerplate, always), largest gain, stated label
-    stack: list[tuple[str, int, float, float, int]] = [("", 0, 0.0, 0.0, -1)]
+    marks = [Mark(0, "", PLAIN, 0.0, 0.0, -1, False)]
+    # tag, element number, the nearest element that tells something, whether one tells content
+    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
+    of_block: list[int] = []
     parts: list[str] = []
     link_parts: list[str] = []
     links = elements = 0
@@ -109,10 +170,11 @@ def blocks_of(page: str) -> list[Block]:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
             linked = len(_SPACE.sub(" ", html.unescape("".join(link_parts))).strip())
-            tag, number, worst, best, known = stack[-1]
-            prior = worst if worst < 0 else best
+            tag, number, mark, _ = stack[-1]
+            marks[mark].text += max(0, len(text) - linked)
+            of_block.append(mark)
             holder = stack[-2][1] if len(stack) > 1 else number
-            out.append(Block(text, min(1.0, linked / len(text)), tag, holder, len(stack), min(low, len(stack)), prior, known))
+            out.append(Block(text, min(1.0, linked / len(text)), tag, holder, len(stack), min(low, len(stack)), 0.0, -1))
             low = len(stack)
         parts.clear()
         link_parts.clear()
@@ -176,11 +238,18 @@ def blocks_of(page: str) -> list[Block]:
         if stack[-1][0] == "p" or (closed and stack[-1][0] in closed) or (tag in HEADINGS and stack[-1][0] in HEADINGS):
             stack.pop()
             low = min(low, len(stack))
-        _, _, worst, best, known = stack[-1]
-        gain, stated = _told(tag, attributes, best > 0)
+        _, _, mark, inside = stack[-1]
+        kind, cost, gain, stated = _told(tag, attributes, inside)
         elements += 1
-        stack.append((tag, elements, min(worst, gain), max(best, gain), 0 if 0 in (stated, known) else max(stated, known)))
+        if kind != PLAIN:
+            marks.append(Mark(mark, tag, kind, cost, gain, stated, kind == HARD or marks[mark].hard))
+            mark = len(marks) - 1
+        stack.append((tag, elements, mark, inside or gain > 0))
     flush()
+    _settle(marks)
+    for b, k in zip(out, of_block, strict=True):
+        m = marks[k]
+        b.prior, b.known = m.worst if m.worst < 0 else m.best, m.known
     return out
 
 

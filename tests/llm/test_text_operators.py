@@ -202,3 +202,20 @@ def test_pages_table(spark):
     got = html_text.main_texts(spark.createDataFrame(rows, schema)).collect()
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     assert html_text.main_texts(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "opening, closing",
+    [
+        ('<div class="site has-sidebar"><article>', "</article></div>"),
+        ('<div id="page" class="header-fixed">', "</div>"),
+        ('<main class="no-comments">', "</main>"),
+        ('<form action="/x">', "</form>"),
+        ('<article><div class="share-wrap">', "</div></article>"),
+    ],
+)
+def test_wrapper_names_do_not_drop_the_article(opening, closing):
+    prose = [f"Paragraph {i} tells of the river, the long road, and the town where they met again in spring." for i in range(6)]
+    side = '<div class="sidebar"><p>Read this other story, too.</p></div><div class="comments"><article><p>Nice, thanks to all.</p></article></div>'
+    page = "<html><body>" + opening + "".join(f"<p>{p}</p>" for p in prose) + closing + side + "</body></html>"
+    assert html_text.main_text(page, html_text.DEFAULT) == "\n".join(prose)
