@@ -48,7 +48,20 @@ def orphaned(recordings: DataFrame, reviews: DataFrame) -> DataFrame:
     return recordings.withColumn("_tail", tail("path")).join(linked, "_tail", "left_anti").drop("_tail")
 
 
-def of_leads(recordings: DataFrame, leads: DataFrame) -> DataFrame:
-    """Recordings with their lead; folders carry the path-safe form of the lead id."""
+def of_leads(recordings: DataFrame, leads: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
+    """Recordings with their lead; folders carry the path-safe form of the lead id.
+
+    Where the review log names one lead of that form for a recording, it belongs to that lead only.
+    Otherwise every lead of the form gets it, and `ambiguous` tells that there is more than one.
+    """
     keys = leads.select("lead_id", path_safe(F.col("lead_id")).alias("lead_key"))
-    return recordings.join(keys, "lead_key")
+    shared = keys.groupBy("lead_key").agg((F.min("lead_id") != F.max("lead_id")).alias("ambiguous"))
+    found = recordings.join(keys.join(shared, "lead_key"), "lead_key")
+    if reviews is None:
+        return found
+    tail = lambda c: F.regexp_extract(c, STORED, 0)
+    named = reviews.select(tail("recording_url").alias("_tail"), F.col("lead_id").alias("_lead"))
+    named = named.filter(F.regexp_extract("_tail", STORED, 1) == path_safe(F.col("_lead")))
+    owners = named.groupBy("_tail").agg(F.min("_lead").alias("_owner"), F.max("_lead").alias("_other")).filter("_owner = _other")
+    found = found.withColumn("_tail", tail("path")).join(owners, "_tail", "left").filter("_owner IS NULL OR _owner = lead_id")
+    return found.withColumn("ambiguous", F.col("ambiguous") & F.col("_owner").isNull()).drop("_tail", "_owner", "_other")

@@ -6,7 +6,7 @@ from leadsieve.config import Clock
 from leadsieve.operators.calls import manual_dials_today
 from leadsieve.operators.org import tl_pick
 from leadsieve.operators.quality import run_verdict
-from leadsieve.operators.recordings import orphaned
+from leadsieve.operators.recordings import of_leads, orphaned
 from leadsieve.sources.records import read_sheet
 from conftest import at
 
@@ -45,3 +45,14 @@ def test_an_unknown_number_matches_no_lead(spark):
     day = clock.as_of.strftime("%Y-%m-%dT%H:%M:%S.000Z")
     calls = spark.createDataFrame([(None, "Manual", day), ("", "Manual", day)], "call_to string, call_type string, created_at string")
     assert manual_dials_today(leads, calls, clock).count() == 0
+
+
+def test_leads_of_one_safe_form_do_not_get_each_others_recordings(spark):
+    stored = [("s/recordings/a_b/1-x.mp3", "a_b"), ("s/recordings/a_b/2-y.mp3", "a_b"), ("s/recordings/c/3-z.mp3", "c")]
+    stored = spark.createDataFrame(stored, "path string, lead_key string")
+    leads = spark.createDataFrame([("a b",), ("a/b",), ("c",)], "lead_id string")
+    reviews = spark.createDataFrame([("a/b", "https://blob.example.com/recordings/a_b/1-x.mp3")], "lead_id string, recording_url string")
+    rows = lambda df: sorted((r.path[-5:], r.lead_id, r.ambiguous) for r in df.collect())
+    unresolved = [("y.mp3", "a b", True), ("y.mp3", "a/b", True), ("z.mp3", "c", False)]
+    assert rows(of_leads(stored, leads, reviews)) == sorted([("x.mp3", "a/b", False), *unresolved])
+    assert rows(of_leads(stored, leads)) == sorted([("x.mp3", "a b", True), ("x.mp3", "a/b", True), *unresolved])
