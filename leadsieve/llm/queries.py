@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leadsieve.llm import (
+    binary_packing,
     html_text,
     language_id,
     minhash_dedup,
     mixing,
     packing,
+    prefix_trie,
     quality_model,
     quality_rules,
     rules_sql,
     secret_scan,
     token_counts,
+    vector_codes,
     vector_dedup,
 )
 from leadsieve.llm.common import small_batches, table
@@ -64,6 +67,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_packing.binary_sequences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,8 +92,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_dedup,
         op9_language_id,
         op10_packing,
+        op11_vector_codes,
+        op12_prefix_trie,
+        op13_binary_packing,
     )
 }
 
-#: Tokenizers, learned models, graphs and packings have no SQL; they are tested by brute force.
+#: Tokenizers, learned models, graphs, codebooks, digests of lists and packings have no SQL; they are tested by brute force.
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": rules_sql.ORACLE, "op6_mixing": mixing.ORACLE}
