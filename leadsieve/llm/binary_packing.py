@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,51 +22,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadsieve.llm.common import PieceModel, id_type, map_batches, small_batches, texts_of, tokenizer
-from leadsieve.llm.token_counts import _PIECE, _PLAIN, PROVEN
+from leadsieve.llm.token_counts import _LETTER, _PIECE, _PLAIN, PROVEN
 
 CAPACITY = 2048
 #: Characters after which an unusual text is cut for the library, at the next proven boundary.
 SEGMENT = 32_768
-#: Distinct words kept by a worker, and the longest of them.
-CACHE, CACHED_LENGTH = 500_000, 64
+#: Distinct words in a generation that a worker keeps, and the longest of them.
+CACHE, CACHED_LENGTH = 600_000, 64
 #: A sequence id is the task, the number within the task and bucket, and the bucket's exponent.
 TASK_SHIFT, NUMBER_SHIFT = 40, 5
 #: Sequences of a bucket that are ranked together when batches are drawn.
 RANKED_TOGETHER = 1000
 
 _NOT_AFTER = re.compile(r"[\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]\Z")
+#: No sign of the plain characters below is a space, a letter or a digit; no special string is made of them alone.
+_SIMPLE = re.compile(rf"([{_LETTER}]+)([!-/:-@\[-`{{-~]*)")
 
 
-class _Words(dict):
-    """Ids of a word behind a space, as bytes; None where the space after it is no sure boundary."""
+class _Recent(dict):
+    """Answers of `ask`, kept in two generations: a full one becomes the old, and what is asked again moves up."""
 
-    def __init__(self, encoder: ByteEncoder):
+    def __init__(self, ask):
         super().__init__()
-        self.encoder = encoder
+        self.ask, self.old = ask, {}
 
     def __missing__(self, word: str) -> bytes | None:
-        ids = None if not word or _NOT_AFTER.search(word) else self.encoder.chunk(" " + word)
+        ids = self.old.get(word, self)
+        if ids is self:
+            ids = self.ask(word)
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
 
-class _Pieces(dict):
-    def __init__(self, tok):
-        super().__init__()
-        self.ask = PieceModel(tok)
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array([t.id for t in self.ask(piece)], dtype="<u4").tobytes()
-        if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class ByteEncoder:
     """Ids (little-endian unsigned 32-bit, as bytes) as the library gives them for a byte-level BPE.
 
@@ -76,9 +69,11 @@ class ByteEncoder:
 
     def __init__(self, vocabulary: str):
         self.tok = tokenizer(vocabulary)
-        self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
-        self.whole_only = any(re.search(r"\s", x) for x in self.special)
-        self.words, self.pieces = _Words(self), _Pieces(self.tok)
+        special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
+        self.whole_only = any(re.search(r"\s", x) for x in special)
+        self.unusual = re.compile("|".join([_PLAIN.pattern, *map(re.escape, special)]))
+        self.model, self.tokenize = PieceModel(self.tok), self.tok.model.tokenize
+        self.words, self.pieces = _Recent(self.word), _Recent(self.piece)
 
     def ids(self, text: str) -> bytes:
         if self.whole_only:
@@ -91,8 +86,20 @@ class ByteEncoder:
         except TypeError:  # a None: two blanks in a row
             return self.long_way(text)
 
+    def piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model(piece)]).tobytes()
+
+    def word(self, word: str) -> bytes | None:
+        """Ids of a word behind a space; None where a space after it is no sure boundary."""
+        if word.isascii() and word.isalpha():  # its bytes stand for themselves
+            return array("I", [t.id for t in self.tokenize("\u0120" + word)]).tobytes()
+        if found := _SIMPLE.fullmatch(word):  # letters, then at most one run of signs: a piece each
+            letters, signs = found.groups()
+            return self.words[letters] + self.pieces[signs] if signs else self.piece(" " + word)
+        return None if not word or _NOT_AFTER.search(word) else self.chunk(" " + word)
+
     def chunk(self, text: str) -> bytes:
-        if _PLAIN.search(text) or any(x in text for x in self.special):
+        if self.unusual.search(text):
             return self.encoded(text)
         return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
 
@@ -106,6 +113,12 @@ class ByteEncoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(vocabulary: str) -> ByteEncoder:
+    """One for all tasks of a Python worker, so that they share the words met before."""
+    return ByteEncoder(vocabulary)
+
+
 def binary_pieces(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: full ones first, then one for each set bit."""
     full = n // capacity
@@ -144,7 +157,7 @@ def binary_sequences(
         fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
 
     def make():
-        encoder = ByteEncoder(vocabulary)
+        encoder = worker_encoder(vocabulary)
         end = np.array([end_id], dtype="<u4").tobytes()
         task = TaskContext.get().partitionId() << TASK_SHIFT
         numbers = [0] * capacity.bit_length()  # sequences of each bucket so far in this task
