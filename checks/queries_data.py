@@ -81,7 +81,8 @@ def src_card_json(spark, sf_dir):
         F.col("assigned_lrm").alias("LRM Id"),
     )
     card.write.json(path)
-    return records.read_card_json(spark, path)
+    contract = schemas.columns("lead_id STRING, created_at STRING, lead_status STRING, lead_stage STRING, lrm_id STRING")
+    return records.unbroken(records.read_card(spark, path, contract))
 
 
 SHEET_SQL = """SELECT trim(email_ids) AS lrm_email_cell, lrm_name, cluster_head AS cluster, city_head AS city,
@@ -90,7 +91,7 @@ SHEET_SQL = """SELECT trim(email_ids) AS lrm_email_cell, lrm_name, cluster_head
 
 def written_sheet(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "sheet")
-    sheet = crm.hierarchy_sheet(spark, sf_dir).withColumnRenamed("Cluster", " Cluster ")
+    sheet = crm.hierarchy_sheet(spark, sf_dir).drop("seq").withColumnRenamed("Cluster", " Cluster ")
     sheet.write.option("header", True).csv(path)
     return path
 
@@ -112,14 +113,47 @@ def src_sheet_records(spark, sf_dir):
     return sheet_cells(records.read_sheet(spark, written_sheet(spark, sf_dir)))
 
 
+SHEET_CARD = schemas.columns(
+    "email_ids STRING, lrm_name STRING, cluster STRING, city STRING, lrm_tl_email_id STRING, hr_status STRING"
+)
+
+
+def card_or_sheet(spark: SparkSession, sf_dir: str, lines: DataFrame | None) -> DataFrame:
+    """The sheet's rows from a card of these lines (none: the card is absent), else from the sheet."""
+    card, sheet = scratch_path(spark, "card"), written_sheet(spark, sf_dir)
+    if lines is not None:
+        lines.write.text(card)
+
+    def from_card() -> DataFrame:
+        cells = records.read_card(spark, card, SHEET_CARD)
+        named = ["Email IDs", "LRM Name", "Cluster", "City", "LRM TL Email ID", "HR Status", *cells.columns[len(SHEET_CARD) :]]
+        return cells.toDF(*named)
+
+    return sheet_cells(records.with_fallback(from_card, lambda: records.read_sheet(spark, sheet)))
+
+
+def sheet_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheet = crm.hierarchy_sheet(spark, sf_dir)
+    return sheet.select("seq", F.to_json(F.struct(*[c for c in sheet.columns if c != "seq"])).alias("value"))
+
+
 @register("src_fallback", SHEET_SQL.replace("SELECT ", "SELECT 'sheet' AS source, "))
 def src_fallback(spark, sf_dir):
     """The card's path does not exist, so its schema cannot be read and the sheet steps in."""
-    absent = scratch_path(spark, "absent")
-    path = written_sheet(spark, sf_dir)
-    return sheet_cells(
-        records.with_fallback(lambda: records.read_card_json(spark, absent), lambda: records.read_sheet(spark, path))
-    )
+    return card_or_sheet(spark, sf_dir, None)
+
+
+@register("src_fallback_card", SHEET_SQL.replace("SELECT ", "SELECT 'card' AS source, "))
+def src_fallback_card(spark, sf_dir):
+    """The card can be read and keeps its contract."""
+    return card_or_sheet(spark, sf_dir, sheet_as_json(spark, sf_dir).select("value"))
+
+
+@register("src_fallback_broken", SHEET_SQL.replace("SELECT ", "SELECT 'sheet' AS source, "))
+def src_fallback_broken(spark, sf_dir):
+    """Some records of the card are cut off half-way, which shows only while its rows are read."""
+    cut = F.when(F.col("seq") % 50 == 7, F.substring("value", 1, 40)).otherwise(F.col("value"))
+    return card_or_sheet(spark, sf_dir, sheet_as_json(spark, sf_dir).select(cut.alias("value")))
 
 
 def chat_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +205,9 @@ def alias_columns(spark, sf_dir):
       CAST(CASE o_orderkey % 6 WHEN 0 THEN 1000 + o_custkey % 1000 WHEN 1 THEN 0 WHEN 2 THEN 0
         WHEN 3 THEN o_custkey WHEN 4 THEN -(o_custkey % 100) ELSE 2500 END AS BIGINT) AS days_overdue,
       o_orderkey % 4 IN (0, 1) AS attempt_today,
-      if(o_orderkey % 3 = 0, NULL, '2024-01-01T00:00:00Z') AS follow_up_at, '' AS lead_stage
+      if(o_orderkey % 3 = 0, NULL, '2024-01-01T00:00:00Z') AS follow_up_at, '' AS lead_stage,
+      'O' || o_custkey AS lead_object_id, if(o_orderkey % 7 = 0, NULL, '2024-01-02T00:00:00Z') AS order_closed_at,
+      CAST(NULL AS VARCHAR) AS crm_touch_at
     FROM orders WHERE o_orderkey % 5 <> 0""",
 )
 def coerce_queue_rows(spark, sf_dir):
@@ -190,11 +226,13 @@ def coerce_queue_rows(spark, sf_dir):
         crm.nth(("TRUE", "true", "1", "FALSE"), k % 4).alias("attempt_today"),
         F.when(k % 3 != 0, "2024-01-01T00:00:00Z").otherwise("").alias("follow_up_at"),
         F.lit(None).cast("string").alias("lead_stage"),
+        F.concat(F.lit("O"), c).alias("lead_object_id"),
+        F.when(k % 7 != 0, "2024-01-02T00:00:00Z").otherwise("").alias("order_closed_at"),
     )
     typed = records.coerce_queue(rows)
     return typed.select(
         "lead_id", "category", "lrm_email", F.col("days_overdue").cast("bigint").alias("days_overdue"),
-        "attempt_today", "follow_up_at", "lead_stage",
+        "attempt_today", "follow_up_at", "lead_stage", "lead_object_id", "order_closed_at", "crm_touch_at",
     )
 
 
@@ -212,7 +250,8 @@ def src_demo_json(spark, sf_dir):
     shown = ["lead_id", "category", "priority_key", "category_rank"]
     arrays = rows.groupBy("lrm_id", "category").agg(F.to_json(F.collect_list(F.struct(*shown))).alias("value"))
     arrays.select("value").write.text(path)
-    return records.read_card_json(spark, path).select(*shown)
+    contract = schemas.columns("lead_id STRING, category STRING, priority_key DOUBLE, category_rank BIGINT")
+    return records.unbroken(records.read_card(spark, path, contract)).select(*shown)
 
 
 # ---- kept tables -----------------------------------------------------------------------

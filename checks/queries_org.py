@@ -12,8 +12,10 @@ from checks.registration import register, texts
 from leadsieve.functions import text
 from leadsieve.operators import access, org, quality, recordings, review
 from leadsieve.plans import serve
-from leadsieve.sources.records import alias_columns
-from leadsieve.sources.schemas import RCA_COLUMNS
+from leadsieve.session import scratch_path
+from leadsieve.sources import records
+from leadsieve.sources.records import alias_columns, coerce_queue
+from leadsieve.sources.schemas import MAPPING_COLUMNS, RCA_COLUMNS, RCA_LOG, columns
 
 CLOCK = crm.CLOCK
 
@@ -170,6 +172,64 @@ def tl_pick(spark, sf_dir):
     return rows.select("tl_email", "lrm_email", "lead_id", "category", "pick_pass", "pick_rank")
 
 
+# ---- the served half from files ---------------------------------------------------------
+
+
+def file_of(rows: DataFrame, label: str, header: bool = True) -> str:
+    """Rows as CSV files, in the order of `seq`, which the files do not carry."""
+    path = scratch_path(rows.sparkSession, label)
+    writer = rows.orderBy("seq").drop("seq").write.option("header", header).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def chart_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chart from a sheet with dotted headers and cells of several lines, and the overrides' tab."""
+    s = F.col("seq").cast("string")
+    sheet = crm.hierarchy_sheet(spark, sf_dir).withColumnsRenamed({"Cluster": " Cluster "})
+    sheet = sheet.withColumns({"S.No": s, "Emp. Notes": F.concat(F.lit('said "hi", then\nleft '), s), "": F.lit(" ")})
+    cells = records.read_sheet(spark, file_of(sheet, "sheet"))
+    tab = file_of(crm.mapping_rows(spark, sf_dir), "overrides")
+    overrides = records.read_positional(spark, tab, columns(", ".join(f"{c} STRING" for c in MAPPING_COLUMNS)), header="lrm_email")
+    return serve.build_hierarchy(cells, overrides)
+
+
+@register("hierarchy_from_files", f"SELECT lrm_email, sseid, {', '.join(FIELDS)}, overridden, added_in_app FROM org_chart")
+def hierarchy_from_files(spark, sf_dir):
+    return chart_from_files(spark, sf_dir).drop("seq")
+
+
+@register(
+    "serve_from_files",
+    """SELECT q.lead_id, q.lrm_email, q.lrm_email_source, q.category, q.served_rank, h.tl_email, h.overridden
+    FROM served_row q JOIN org_chart h USING (lrm_email)""",
+)
+def serve_from_files(spark, sf_dir):
+    """Queue, sheet and overrides all arrive as text."""
+    queue = crm.queue_snapshot(spark, sf_dir)
+    path = file_of(queue.withColumn("seq", F.monotonically_increasing_id()), "queue")
+    s = serve.serve_queue(coerce_queue(records.read_sheet(spark, path)), chart_from_files(spark, sf_dir))
+    rows = org.with_hierarchy(s.queue, s.hierarchy, ["tl_email", "overridden"])
+    return rows.select("lead_id", "lrm_email", "lrm_email_source", "category", "served_rank", "tl_email", "overridden")
+
+
+@register(
+    "review_from_files",
+    "SELECT audit_date, lead_id, reason, logged_at, review_verdict, length(note) AS note_chars FROM review_now",
+)
+def review_from_files(spark, sf_dir):
+    """The review log under a header of fewer columns; of equal times the later row counts."""
+    path = file_of(crm.review_rows(spark, sf_dir), "reviews", header=False)
+    rows = review.newest_reviews(records.read_positional(spark, path, RCA_LOG))
+    return rows.select("audit_date", "lead_id", "reason", "logged_at", "review_verdict", F.length("note").alias("note_chars"))
+
+
+@register("access_from_files", "SELECT email, role, scope, note, updated_by, updated_at FROM access_now")
+def access_from_files(spark, sf_dir):
+    path = file_of(crm.access_rows(spark, sf_dir), "access")
+    return access.access_latest(records.read_sheet(spark, path))
+
+
 @register("email_intersect", "SELECT lrm_email FROM queue_row INTERSECT SELECT lrm_email FROM org_chart")
 def email_intersect(spark, sf_dir):
     return quality.mail_set(crm.queue_snapshot(spark, sf_dir)).intersect(quality.mail_set(chart(spark, sf_dir)))
