@@ -26,7 +26,7 @@ from leadsieve.config import Clock
 from leadsieve.functions import times
 from leadsieve.operators import calls, enrich, history, population, quality
 from leadsieve.operators import rules as r
-from leadsieve.operators.skew import lookup_join, ordering, rank_in_group
+from leadsieve.operators.skew import lookup_join, prefilter
 from leadsieve.plans import queue as plan
 
 CLOCK = crm.CLOCK
@@ -311,8 +311,8 @@ stage_flag("no_md_ever", "no_md_ever")
 
 @register("semi_base", "SELECT lead_id, count(*) AS events, max(event_id) AS last_id FROM scope_event GROUP BY lead_id")
 def semi_base(spark, sf_dir):
-    events = crm.lead_history(spark, sf_dir)
     ids = scoped(spark, sf_dir).select("lead_id")
+    events = prefilter(crm.lead_history(spark, sf_dir), ids, "lead_id")
     counts = events.groupBy("lead_id").agg(F.count(F.lit(1)).alias("events"), F.max("event_id").alias("last_id"))
     return counts.join(ids, "lead_id", "left_semi")
 
@@ -470,11 +470,8 @@ def topk_lrm_category(spark, sf_dir):
 )
 def final_sort(spark, sf_dir):
     """The queue in output order, with each row's place in it."""
-    owner = crm.queue_snapshot(spark, sf_dir).select("lrm_email", "category", "lrm_category_rank", "lead_id")
-    spec = [("lrm_email", "asc_nulls_last"), ("category", "asc"), ("lrm_category_rank", "asc"), ("lead_id", "asc")]
-    return rank_in_group(owner.withColumn("_all", F.lit(0)), ["_all"], spec, 2, "place").drop("_all").orderBy(
-        *ordering(spec)
-    )
+    queue = crm.queue_snapshot(spark, sf_dir).select("lrm_email", "category", "lrm_category_rank", "lead_id")
+    return plan.final_places(queue)
 
 
 @register(

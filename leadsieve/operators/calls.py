@@ -5,25 +5,26 @@ and a third of the dials, and joining the two would build every pair. Nothing he
 lead only needs how many dials on its phone came at or after one instant, which is a running
 total along the phone's time line:
 
-* dials and the leads' start instants go on one time line, cut by phone and hour;
+* dials and the leads' start instants go on one time line, cut by phone and minute;
 * inside a slice a running total counts the dials after each start;
-* whole later hours are added from a running total over the phone's hourly sums.
+* later minutes of the hour are added from a running total over the hour's minutes, and later
+  hours from one over the phone's hours.
 
-A hot phone is thus spread over its hours, and repeated dials are combined before the shuffle.
+A hot phone is thus spread over its minutes, and repeated dials are combined before the shuffle.
 The leads then meet one row per phone and start; if a third of them share that row, the
 adaptive skew join splits them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from leadsieve.config import Clock, instant
 from leadsieve.functions.text import digits, phone_key
 from leadsieve.functions.times import ISO_DATE_PREFIX, ISO_INSTANT_PREFIX, instant_from_text, local_date
 from leadsieve.operators.population import lead_phones
-from leadsieve.operators.skew import BROADCAST_BYTES, lookup_join, restrict_to
+from leadsieve.operators.skew import lookup_join, prefilter
 
 CONNECT_DIGITS = 15
 MANUAL = "Manual"
@@ -63,56 +64,71 @@ def dials_after(starts: DataFrame, dials: DataFrame) -> DataFrame:
         starts.select("ph10", F.col("since_at").alias("at"), F.lit(True).alias("mark")).distinct(),
         allowMissingColumns=True,
     )
-    # dials without a time fall into the hour NULL, which sorts before all others: no start
-    # looks for them there
-    line = line.withColumn("hour", F.floor(F.unix_seconds("at") / 3600))
+    # dials without a time fall into the slices NULL, which sort before all others: no start looks
+    # for them there
+    second = F.unix_seconds("at")
+    line = line.withColumns({"minute": F.floor(second / 60), "hour": F.floor(second / 3600)})
 
-    # same-hour rows at or after this one; equal times count as after
-    later = Window.partitionBy("ph10", "hour").orderBy(F.col("at").desc())
+    # rows of the minute at or after this one; equal times count as after
+    later = Window.partitionBy("ph10", "minute").orderBy(F.col("at").desc())
     running = line.select(
         "ph10",
         "hour",
-        "at",
+        "minute",
         "mark",
+        "at",
         F.sum("n").over(later).alias("n"),
         F.sum("c").over(later).alias("c"),
         F.max("dial_at").over(later).alias("last_at"),
     )
-    # running totals only grow, so their maxima are the totals of the hour; the grouping uses
+    # running totals only grow, so their maxima are the totals of the minute; the grouping uses
     # the window's own partitioning
-    hourly = running.groupBy("ph10", "hour").agg(
+    minutes = running.groupBy("ph10", "minute").agg(
+        F.max("hour").alias("hour"),
         F.max("n").alias("n"),
         F.max("c").alias("c"),
         F.max("last_at").alias("last_at"),
         F.bool_or("mark").alias("marked"),
     )
-    beyond = Window.partitionBy("ph10").orderBy(F.col("hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    rest = hourly.select(
-        F.col("ph10").alias("_ph10"),
-        F.col("hour").alias("_hour"),
-        "marked",
-        F.sum("n").over(beyond).alias("more_n"),
-        F.sum("c").over(beyond).alias("more_c"),
-        F.max("last_at").over(beyond).alias("more_last_at"),
-    ).filter("marked")
-    # null-safe on the hour, or the optimizer would filter one of the two readings of the line
-    # for NULL hours and Spark could not share their shuffle
+    of_hour = minutes.select("*", *_later_totals(Window.partitionBy("ph10", "hour"), "minute"))
+    hours = of_hour.groupBy("ph10", "hour").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.max("last_at").alias("last_at"))
+    of_phone = hours.select(
+        F.col("ph10").alias("_ph10"), F.col("hour").alias("_hour"), *_later_totals(Window.partitionBy("ph10"), "hour", "far")
+    )
+    # null-safe on the slices, or the optimizer would filter one of the two readings of the line
+    # for NULL slices and Spark could not share their shuffle
     same_hour = (F.col("ph10") == F.col("_ph10")) & F.col("hour").eqNullSafe(F.col("_hour"))
-    zero = F.lit(0)
+    rest = of_hour.filter("marked").join(of_phone, same_hour).select(
+        F.col("ph10").alias("_ph10"),
+        F.col("minute").alias("_minute"),
+        *[(F.coalesce(f"more_{x}", F.lit(0)) + F.coalesce(f"far_{x}", F.lit(0))).alias(f"more_{x}") for x in ("n", "c")],
+        F.greatest("more_last_at", "far_last_at").alias("more_last_at"),
+    )
+    same_minute = (F.col("ph10") == F.col("_ph10")) & F.col("minute").eqNullSafe(F.col("_minute"))
     return (
         running.filter("mark")
-        .join(rest, same_hour)
+        .join(rest, same_minute)
         .select(
             "ph10",
             F.col("at").alias("since_at"),
             F.greatest("last_at", "more_last_at").alias("last_call_at"),
-            (F.coalesce("n", zero) + F.coalesce("more_n", zero)).alias("calls_30d"),
-            (F.coalesce("c", zero) + F.coalesce("more_c", zero)).alias("connects_30d"),
+            (F.coalesce("n", F.lit(0)) + F.col("more_n")).alias("calls_30d"),
+            (F.coalesce("c", F.lit(0)) + F.col("more_c")).alias("connects_30d"),
         )
         .filter(F.col("calls_30d") > 0)
     )
 
 
+def _later_totals(slices: WindowSpec, order: str, name: str = "more") -> list[Column]:
+    """Totals over the slices that lie after this one."""
+    beyond = slices.orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return [
+        F.sum("n").over(beyond).alias(f"{name}_n"),
+        F.sum("c").over(beyond).alias(f"{name}_c"),
+        F.max("last_at").over(beyond).alias(f"{name}_last_at"),
+    ]
+
+
 def dials_by_phone(dials: DataFrame) -> DataFrame:
     """Totals per phone, dials with unreadable times included."""
     return dials.groupBy("ph10").agg(
@@ -130,7 +146,6 @@ def call_stats(
     days: int = 30,
     since_assignment: bool = True,
     keep: Column | None = None,
-    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(lead_id, last_call_at, calls_30d, connects_30d) of the leads that were dialled."""
     phones = lead_phones(leads)
@@ -144,7 +159,7 @@ def call_stats(
     else:
         starts = phones.select("lead_id", "ph10")
         keys = ["ph10"]
-    dials = restrict_to(dials, starts.select("ph10").distinct(), "ph10", limit)
+    dials = prefilter(dials, starts, "ph10")
     totals = dials_after(starts, dials) if since_assignment else dials_by_phone(dials)
     joined = starts.join(totals, keys)
     return joined.select("lead_id", "last_call_at", "calls_30d", "connects_30d")

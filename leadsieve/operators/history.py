@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadsieve.functions.text import matches_any, null_to_blank
-from leadsieve.operators.skew import restrict_to
+from leadsieve.operators.skew import prefilter
 
 MILESTONES = ("meeting_confirmed_datetime", "meeting_schedule_date", "meeting_done_date")
 
@@ -69,10 +69,11 @@ def loop_counts(history: DataFrame, rules) -> DataFrame:
 def history_facts(history: DataFrame, lead_ids: DataFrame, rules) -> DataFrame:
     """Newest stage, milestones, closing dates and counts: one scan and one shuffle.
 
-    The grouping combines map-side, so a lead with very many events ships one partial row per
-    map task. Only the columns the rule set reads are kept.
+    Events of other leads are dropped where they are read, but for a few that a join with the leads
+    drops. The grouping combines map-side, so a lead with very many events ships one partial row per
+    map task, however many leads there are. Only the columns the rule set reads are kept.
     """
-    kept = restrict_to(history, lead_ids, "lead_id")
+    kept = prefilter(history, lead_ids, "lead_id")
     if rules.milestones_from_newest:
         # these rule sets put a missing time first
         order = F.struct(F.col("created_at").isNull(), "created_at", "event_id")

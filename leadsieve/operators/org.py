@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadsieve.config import DEFAULT_ALIAS, MailAlias
 from leadsieve.functions.text import blank_to_null, mail_key, name_key, null_to_blank, one_line_trimmed
-from leadsieve.operators.skew import fits_broadcast, lookup_join, top_in_group
+from leadsieve.operators.skew import lookup_join, top_in_group
 from leadsieve.sources.records import alias_columns
 from leadsieve.sources.schemas import HIERARCHY_HEADERS, MAPPING_FIELDS, MAPPING_MAIL_FIELDS
 
@@ -92,22 +92,27 @@ def without_overrides(hierarchy: DataFrame) -> DataFrame:
 
 
 def name_fallback(queue: DataFrame, hierarchy: DataFrame) -> DataFrame:
-    """Fill a blank owner address from the hierarchy by loose name; the first such rep wins."""
+    """Fill a blank owner address from the hierarchy by loose name; the first such rep wins.
+
+    Only rows without an address and with a name are joined; the others, nearly the whole queue, stay
+    where they are instead of meeting under one NULL key.
+    """
     by_name = (
         hierarchy.withColumn("_name", name_key(F.col("lrm_name")))
         .filter(F.col("_name") != "")
         .groupBy("_name")
         .agg(F.min_by("lrm_email", F.struct("added_in_app", "seq")).alias("_found"))
     )
-    blank = null_to_blank(F.col("lrm_email")) == ""
-    asked = queue.withColumn("_name", F.when(blank, name_key(F.col("lrm_name"))))
-    found = lookup_join(asked, by_name, "_name")
-    return found.withColumns(
+    mail, name = null_to_blank(F.col("lrm_email")), name_key(F.col("lrm_name"))
+    asks = (mail == "") & (name != "")
+    found = lookup_join(queue.filter(asks).withColumn("_name", name), by_name, "_name").withColumns(
         {
-            "lrm_email": F.when(blank, F.coalesce("_found", F.lit(""))).otherwise(F.col("lrm_email")),
+            "lrm_email": F.coalesce("_found", F.lit("")),
             "lrm_email_source": F.when(F.col("_found").isNotNull(), "name").otherwise(""),
         }
-    ).drop("_name", "_found")
+    )
+    rest = queue.filter(~asks).withColumns({"lrm_email": mail, "lrm_email_source": F.lit("")})
+    return rest.unionByName(found.drop("_name", "_found"))
 
 
 def newest_day_only(queue: DataFrame) -> DataFrame:
@@ -181,7 +186,7 @@ def tl_pick(
     # the total holds for the first pass too, should it be less than all categories together
     first = top_in_group(first, ["tl_email"], best, per_tl, "_place").drop("_place")
     taken = first.select("tl_email", "lead_id")
-    left = rows.join(F.broadcast(taken) if fits_broadcast(taken) else taken, ["tl_email", "lead_id"], "left_anti")
+    left = rows.join(taken, ["tl_email", "lead_id"], "left_anti")
     late = [("days_overdue", "desc_nulls_last"), ("created_at", "desc_nulls_last"), ("lead_id", "asc")]
     spare = top_in_group(left, ["tl_email"], late, per_tl, "pick_rank").withColumn("pick_pass", F.lit(2))
     sizes = first.groupBy("tl_email").agg(F.count(F.lit(1)).alias("_picked"))

@@ -9,47 +9,44 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 10 * 1024 * 1024
+from leadsieve.session import written
 
+#: Words of 64 bits in a key filter: its table has at most so many rows, whatever the keys.
+FILTER_WORDS = 1 << 18
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan; runs no job. None where it cannot be read."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
 
+def key_filter(ids: DataFrame, key: str, words: int = FILTER_WORDS) -> DataFrame:
+    """(_word, _bits): one bit for the hash of each key, at most `words` rows."""
+    h = F.xxhash64(key)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    return ids.filter(F.col(key).isNotNull()).groupBy(_word(h, words)).agg(F.bit_or(bit).alias("_bits"))
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= limit
 
+def _word(h: Column, words: int) -> Column:
+    return F.pmod(F.shiftright(h, 6), F.lit(words)).alias("_word")
 
-def restrict_to(facts: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The fact rows whose key is in `ids`, whatever their sizes.
 
-    Ids below the limit are broadcast; beyond it both sides are shuffled on the key, on which the
-    callers aggregate next, and the adaptive skew join cuts a hot key.
+def prefilter(facts: DataFrame, ids: DataFrame, key: str, words: int = FILTER_WORDS) -> DataFrame:
+    """The fact rows whose key may be in `ids`: all that are, and few that are not.
+
+    A bitmap of the ids' hashes, bounded whatever their number, goes to every task, so facts are
+    reduced where they are read. Aggregate them next and join the ids then: a key of any weight sends
+    one partial row per task, and raw rows are never shuffled.
     """
-    return facts.join(F.broadcast(ids) if fits_broadcast(ids, limit) else ids, key, "left_semi")
+    names = facts.columns
+    h = F.xxhash64(key)
+    marked = facts.withColumns({"_word": _word(h, words), "_bit": h.bitwiseAND(F.lit(63)).cast("int")})
+    kept = marked.join(F.broadcast(key_filter(ids, key, words)), "_word")  # at most `words` rows of 16 bytes
+    return kept.filter(F.getbit("_bits", F.col("_bit")) == 1).select(*names)
 
 
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: str | Sequence[str],
-    *,
-    how: str = "left",
-    limit: int = BROADCAST_BYTES,
-) -> DataFrame:
+def lookup_join(facts: DataFrame, lookup: DataFrame, keys: str | Sequence[str], *, how: str = "left") -> DataFrame:
     """Join facts to a table with few rows per key, whatever the key distribution of the facts.
 
-    A lookup below the size limit is broadcast. Beyond it both sides are shuffled on the keys
-    and the adaptive skew join cuts an oversized partition of facts, one hot key or all the
-    NULL keys, into pieces that each meet the same few lookup rows.
+    Spark broadcasts a lookup that it knows or measures to be small. Beyond that both sides are
+    shuffled on the keys and the adaptive skew join cuts an oversized partition of facts, one hot
+    key or all the NULL keys, into pieces that each meet the same few lookup rows.
     """
-    if fits_broadcast(lookup, limit):
-        return facts.join(F.broadcast(lookup), keys, how)
     return facts.join(lookup, keys, how)
 
 
@@ -58,38 +55,30 @@ def ordering(spec: Sequence[tuple[str, str]]) -> list[Column]:
     return [getattr(F.col(name), direction)() for name, direction in spec]
 
 
-def rank_in_group(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[tuple[str, str]],
-    coarse: int,
-    out: str,
-) -> DataFrame:
+def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[tuple[str, str]], out: str) -> DataFrame:
     """Exact row number of every row of a group, without putting a group into one task.
 
-    The first `coarse` sort columns cut each group into slices. Slice sizes are counted with
-    map-side combine, a running sum over them gives each slice its offset, and only a slice
-    is sorted as one unit. Rows are read twice, once to be counted, so pass a stored table.
-    Use it where all ranks are wanted; a top-k filter over a plain row_number is cheaper,
-    because Spark then drops rows before the shuffle.
+    Rows are sorted by range over group and order at once: cut points come from a sample, so ranges
+    hold about as many rows each, also where all rows are one group with one leading value. A row's
+    number in its range and how many rows of its group lie in earlier ranges make its rank. The
+    sorted rows are written to the scratch folder; pass a stored table, since sampling reads it too.
+    End the order with a unique column. Where only the first few are wanted, `top_in_group` is
+    cheaper, because Spark then drops rows before the shuffle.
     """
-    slice_keys = [name for name, _ in order[:coarse]]
-    cut = [*group, *slice_keys]
-    sizes = df.groupBy(*cut).agg(F.count(F.lit(1)).alias("_n"))
-    before = (
-        Window.partitionBy(*group)
-        .orderBy(*ordering(order[:coarse]))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sizes.select(
-        *[F.col(c).alias(f"_o_{c}") for c in cut],
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+    spec = [*(F.col(g).asc_nulls_first() for g in group), *ordering(order)]
+    sorted_rows = df.repartitionByRange(*spec).sortWithinPartitions(*spec)
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = written(sorted_rows.withColumns({"_range": F.spark_partition_id(), "_number": number}), "ranked")
+    # one row for each range that a group reaches into
+    parts = placed.groupBy(*group, "_range").agg(F.min("_number").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(
+        *[F.col(g).alias(f"_o_{g}") for g in group],
+        F.col("_range").alias("_o_range"),
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_from") + 1).alias("_offset"),
     )
-    inside = Window.partitionBy(*cut).orderBy(*ordering(order[coarse:]))
-    numbered = df.withColumn("_pos", F.row_number().over(inside))
-    same_slice = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in cut])
-    joined = numbered.join(offsets, same_slice, "inner")
-    return joined.withColumn(out, F.col("_pos") + F.col("_offset")).select(*df.columns, out)
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_o_{g}")) for g in group], F.col("_range") == F.col("_o_range"))
+    return placed.join(offsets, same).withColumn(out, F.col("_number") + F.col("_offset")).select(*df.columns, out)
 
 
 def top_in_group(

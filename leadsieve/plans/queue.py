@@ -76,14 +76,8 @@ def ranked(flagged: DataFrame, rules: RuleSet = CURRENT) -> DataFrame:
 
 
 def all_ranks(flagged: DataFrame, rules: RuleSet = CURRENT) -> DataFrame:
-    """Ranks of every flagged lead, which are stored first because ranking reads them twice.
-
-    The local creation day, which sorts like the creation time, is put before it so that
-    groups can be cut by score and day.
-    """
-    at = [name for name, _ in rules.rank_order].index("created_at")
-    order = [*rules.rank_order[:at], ("created_ist", rules.rank_order[at][1]), *rules.rank_order[at:]]
-    return rank_in_group(written(flagged, "flagged"), rules.rank_group, order, at + 1, RANK)
+    """Ranks of every flagged lead, which are stored first because ranking reads them twice."""
+    return rank_in_group(written(flagged, "flagged"), rules.rank_group, rules.rank_order, RANK)
 
 
 def project(rows: DataFrame, rules: RuleSet, clock: Clock) -> DataFrame:
@@ -123,15 +117,22 @@ def build_queue(
     top = ranked(flagged_leads(tables, clock, rules, keep_dials), rules)
     shown = enrich.with_owner(enrich.with_geo(top, tables.geo, rules), tables.users, alias)
     queue = project(shown, rules, clock)
-    return final_sort(queue, rules) if sort else queue
+    return final_sort(queue) if sort else queue
 
 
-def final_sort(queue: DataFrame, rules: RuleSet = CURRENT) -> DataFrame:
+def output_order(queue: DataFrame) -> list[tuple[str, str]]:
     if "lrm_email" in queue.columns:
-        spec = [("lrm_email", "asc_nulls_last"), ("category", "asc"), (RANK, "asc"), ("lead_id", "asc")]
-    else:
-        spec = [("category", "asc"), ("category_rank", "asc")]
-    return queue.orderBy(*ordering(spec))
+        return [("lrm_email", "asc_nulls_last"), ("category", "asc"), (RANK, "asc"), ("lead_id", "asc")]
+    return [("category", "asc"), ("category_rank", "asc"), ("lead_id", "asc")]
+
+
+def final_sort(queue: DataFrame) -> DataFrame:
+    return queue.orderBy(*ordering(output_order(queue)))
+
+
+def final_places(queue: DataFrame) -> DataFrame:
+    """The rows of a stored queue in output order, with `place` from 1: sorted by range, numbered by offsets."""
+    return rank_in_group(queue, [], output_order(queue), "place").orderBy("place")
 
 
 def rule_migration(
