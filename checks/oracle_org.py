@@ -140,6 +140,17 @@ UNION ALL
 SELECT tl_email, lrm_email, lead_id, category, audit_date, pick_pass, pick_rank FROM spare_pick s
 WHERE pick_rank <= 20 - (SELECT count(*) FROM first_pick f WHERE f.tl_email = s.tl_email)"""
 
+# the same rows spread over forty days up to the audit day, and each day's lists
+PARTS["spread_row"] = """
+SELECT * REPLACE (CAST(audit_date - CAST(CAST(substr(lead_id, 2) AS BIGINT) % 40 AS INT) AS DATE) AS audit_date) FROM team_row"""
+PARTS["spread_list"] = """
+SELECT tl_email, lead_id, audit_date FROM (
+  SELECT *, row_number() OVER (PARTITION BY audit_date, tl_email ORDER BY early, if(early, NULL, days_overdue) DESC,
+    created_at DESC, lead_id) AS n, count(*) FILTER (early) OVER (PARTITION BY audit_date, tl_email) AS taken
+  FROM (SELECT *, NOT (row_number() OVER (PARTITION BY audit_date, tl_email, category
+      ORDER BY priority_key DESC, created_at DESC, lead_id) <= 4) AS late, NOT late AS early FROM spread_row))
+WHERE early OR n <= 20 - taken"""
+
 # ---- access ----
 PARTS["access_row"] = """
 SELECT s_suppkey AS seq,

@@ -11,8 +11,8 @@ from checks.oracle_org import FIELDS, OWNER
 from checks.registration import register, texts
 from leadsieve.functions import text
 from leadsieve.operators import access, org, quality, recordings, review
-from leadsieve.plans import serve
-from leadsieve.session import scratch_path
+from leadsieve.plans import daily, serve
+from leadsieve.session import scratch_path, written
 from leadsieve.sources import records
 from leadsieve.sources.records import alias_columns, coerce_queue
 from leadsieve.sources.schemas import MAPPING_COLUMNS, RCA_COLUMNS, RCA_LOG, columns
@@ -426,12 +426,36 @@ def rca_done(spark, sf_dir):
     "adherence_mtd",
     """SELECT t.tl_email, count(*) AS picked, count(r.lead_id) AS reviewed,
       round(count(r.lead_id) * 100.0 / count(*), 1) AS adherence_pct
-    FROM worklist t LEFT JOIN review_now r ON r.lead_id = t.lead_id AND r.review_day = CAST(t.audit_date AS VARCHAR)
-    GROUP BY 1""",
+    FROM spread_list t LEFT JOIN review_now r ON r.lead_id = t.lead_id AND r.review_day = CAST(t.audit_date AS VARCHAR)
+    WHERE t.audit_date >= DATE '2024-01-01' GROUP BY 1""",
 )
 def adherence_mtd(spark, sf_dir):
-    picks = serve.team_worklists(served(spark, sf_dir)).select("tl_email", "lead_id", "audit_date")
-    return review.adherence_month_to_date(picks, newest_reviews(spark, sf_dir), CLOCK)
+    """Forty days of work lists are kept; those of the month count. One day is drawn twice."""
+    kept = kept_picks(spark, sf_dir)
+    return review.adherence_month_to_date(daily.month_picks(kept, CLOCK), newest_reviews(spark, sf_dir), CLOCK)
+
+
+def kept_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = served(spark, sf_dir)
+    rows = org.with_hierarchy(s.queue, s.hierarchy, ["tl_email", "tl_name"])
+    back = (F.substring("lead_id", 2, 20).cast("bigint") % 40).cast("int")
+    spread = rows.withColumn("audit_date", F.date_sub(F.col("audit_date").cast("date"), back))
+    root = scratch_path(spark, "picks")
+    lists = written(org.tl_pick(spread, by=("audit_date", "tl_email")), "lists")
+    daily.export_picks(lists, root)
+    daily.export_picks(lists.filter(F.col("audit_date") == CLOCK.today_col()), root)
+    return spark.read.parquet(f"{root}/{daily.PICKS}")
+
+
+@register(
+    "kept_pick_log",
+    """SELECT CAST(audit_date AS VARCHAR) AS audit_date, tl_email, count(*) AS picked, min(lead_id) AS first_lead
+    FROM spread_list GROUP BY ALL""",
+)
+def kept_pick_log(spark, sf_dir):
+    """What is kept of each day and team lead."""
+    rows = kept_picks(spark, sf_dir).groupBy(F.col("audit_date").cast("string").alias("audit_date"), "tl_email")
+    return rows.agg(F.count(F.lit(1)).alias("picked"), F.min("lead_id").alias("first_lead"))
 
 
 @register(

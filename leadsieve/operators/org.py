@@ -171,26 +171,32 @@ def trim_per_owner(queue: DataFrame, per: int = PER_LRM_CATEGORY) -> DataFrame:
 
 
 def tl_pick(
-    rows: DataFrame, per_category: int = PICK_PER_CATEGORY, per_tl: int = PICK_PER_TL
+    rows: DataFrame,
+    per_category: int = PICK_PER_CATEGORY,
+    per_tl: int = PICK_PER_TL,
+    by: Sequence[str] = ("tl_email",),
 ) -> DataFrame:
     """The work list of each team lead over all of the team's reps.
 
+    `by` are the columns that make a list: with the audit day among them the lists of many days are
+    drawn at once.
+
     First the best few of every category, newer leads first among equals; then, up to the
     total, the most overdue of the rest. Meetings still ahead are overdue by 0 days and so
     come last. Each pass is a top-k per group, so no team's rows are gathered whole.
     """
     best = [("priority_key", "desc_nulls_last"), ("created_at", "desc_nulls_last"), ("lead_id", "asc")]
-    first = top_in_group(rows, ["tl_email", "category"], best, per_category, "pick_rank").withColumn(
+    first = top_in_group(rows, [*by, "category"], best, per_category, "pick_rank").withColumn(
         "pick_pass", F.lit(1)
     )
     # the total holds for the first pass too, should it be less than all categories together
-    first = top_in_group(first, ["tl_email"], best, per_tl, "_place").drop("_place")
-    taken = first.select("tl_email", "lead_id")
-    left = rows.join(taken, ["tl_email", "lead_id"], "left_anti")
+    first = top_in_group(first, by, best, per_tl, "_place").drop("_place")
+    taken = first.select(*by, "lead_id")
+    left = rows.join(taken, [*by, "lead_id"], "left_anti")
     late = [("days_overdue", "desc_nulls_last"), ("created_at", "desc_nulls_last"), ("lead_id", "asc")]
-    spare = top_in_group(left, ["tl_email"], late, per_tl, "pick_rank").withColumn("pick_pass", F.lit(2))
-    sizes = first.groupBy("tl_email").agg(F.count(F.lit(1)).alias("_picked"))
-    fill = spare.join(sizes, "tl_email").filter(F.col("pick_rank") <= per_tl - F.col("_picked"))
+    spare = top_in_group(left, by, late, per_tl, "pick_rank").withColumn("pick_pass", F.lit(2))
+    sizes = first.groupBy(*by).agg(F.count(F.lit(1)).alias("_picked"))
+    fill = spare.join(sizes, [*by]).filter(F.col("pick_rank") <= per_tl - F.col("_picked"))
     return first.unionByName(fill.drop("_picked"))
 
 
