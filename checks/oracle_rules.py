@@ -1,247 +1,148 @@
-"""SQL fragments of the superseded rule sets, as overlays on the current ones."""
+"""The superseded rule sets as `Plain` records, each told by what it did otherwise than its successor."""
 
 from __future__ import annotations
 
-from checks.oracle_crm import AS_OF, BLOCKED, CLOSE_FROM, PARTS, TODAY, day, digits_of
-
-MEETING = f"""WHEN meeting_day BETWEEN {TODAY} - 14 AND {TODAY} - 1 AND NOT met
-    AND coalesce(activity_day, created_day) <= meeting_day THEN 'mcch_past'
-  WHEN meeting_day > {TODAY} AND NOT met THEN 'mcch_future'"""
-NOT_CALLED = f"coalesce({day('last_call_at')}, DATE '1900-01-01') < due_day"
-FOLLOW = (
-    f"WHEN due_day BETWEEN {TODAY} - 14 AND {TODAY} AND NOT attempt_today AND {NOT_CALLED} THEN 'followup_missed'"
-)
-LOOP = "WHEN loop_turns >= 3 AND mcch_events = 0 AND quiet BETWEEN 3 AND 42 THEN 'followup_missed'"
-PICKED_UP = f"WHEN stage_lc = 'assigned' AND created_day < {TODAY} AND quiet >= 3 THEN 'followup_missed'"
-BD = (
-    f"WHEN stage_lc = 'meeting scheduled (bd)' AND lrm_id IS NOT NULL AND created_day < {TODAY} AND quiet >= 3 "
-    "THEN 'followup_missed'"
-)
-FUTURE = f"WHEN stage_lc = 'future followup required' AND due_day <= {TODAY} THEN 'followup_missed'"
-SPEED = f"WHEN stage_lc = 'speed order' AND created_day < {TODAY} AND quiet >= 3 THEN 'followup_missed'"
-DEV = """WHEN stage_lc IN ('dev scheduled', 'design created') AND no_md_ever AND quiet >= 3 THEN 'followup_missed'
-  WHEN stage_lc IN ('dev postponed', 'dev done') AND quiet BETWEEN 3 AND 42 THEN 'followup_missed'"""
-
-
-def final_close(ni: str, nq: str, since: str) -> str:
-    return f"""WHEN is_ni THEN if({ni} >= {since} AND quiet >= 2, 'not_interested', NULL)
-  WHEN is_nq THEN if({nq} >= {since} AND quiet >= 2, 'not_qualified', NULL)"""
-
-
-OWN_DATE = final_close(
-    "coalesce(ni_day, stage_day, created_day)", "coalesce(nq_day, stage_day, created_day)", CLOSE_FROM
+from dataclasses import replace
+
+from checks.oracle_crm import (
+    AHEAD,
+    AS_OF,
+    BD,
+    DUE,
+    FUTURE,
+    LOOPING,
+    LOOPS,
+    MEETINGS,
+    MISSED,
+    NI,
+    NQ,
+    OWN_DAY_CLOSES,
+    PARTS,
+    PAST,
+    PICKED_UP,
+    QUIET_SCORE,
+    SINCE_14,
+    SINCE_CLOSE,
+    STALE,
+    TODAY,
+    UNCALLED,
+    UNSEEN,
+    ISO_TIME,
+    Plain,
+    any_like,
+    audit_parts,
+    blocked_until,
+    claim,
+    closes,
+    day,
+    days_since,
+    phone,
 )
-STAGE_DATE = final_close("coalesce(stage_day, created_day)", "coalesce(stage_day, created_day)", CLOSE_FROM)
-STAGE_DATE_14 = final_close("coalesce(stage_day, created_day)", "coalesce(stage_day, created_day)", f"{TODAY} - 14")
-
-
-def claimed(*arms: str) -> str:
-    return "SELECT *, CASE\n  " + "\n  ".join(arms) + "\n  END AS category\nFROM open_state"
-
-
-def swap(text: str, *pairs: tuple[str, str]) -> str:
-    for old, new in pairs:
-        assert old in text, old
-        text = text.replace(old, new)
-    return text
-
-
-def blocked_until(last: str) -> str:
-    """The blocklist up to and including a stage."""
-    return BLOCKED[: BLOCKED.index(f"'{last}'") + len(last) + 2] + ")"
-
 
-VARIANTS: dict[str, dict[str, str]] = {"v7.8": dict(PARTS)}
+SPEED = claim(MISSED, f"stage_lc = 'speed order' AND {STALE}")
+DESIGN = claim(MISSED, "stage_lc IN ('dev scheduled', 'design created') AND no_md_ever AND quiet >= 3")
+DEV = claim(MISSED, "stage_lc IN ('dev postponed', 'dev done') AND quiet BETWEEN 3 AND 42")
+ENDING = (*MEETINGS, DUE, LOOPS)
 
 
-def variant(name: str, of: str, **changed: str) -> dict[str, str]:
-    VARIANTS[name] = {**VARIANTS[of], **changed}
-    return VARIANTS[name]
+def other(pairs: tuple[tuple[str, str], ...], **changed: str) -> tuple[tuple[str, str], ...]:
+    return tuple((c, changed.get(c, v)) for c, v in pairs)
 
 
-PROMISE_FIRST = PARTS["lead_fact"][PARTS["lead_fact"].index("coalesce(CAST(CAST(reschedule_date") :].split(" AS follow_up_at")[0]
-
-variant(
-    "v7.7",
-    "v7.8",
-    lead_fact=swap(PARTS["lead_fact"], (PROMISE_FIRST, "coalesce(lrm_queue_entry_next_action_at, follow_up_datetime)")),
-    claimed=claimed(OWN_DATE, PICKED_UP, BD, FUTURE, MEETING, FOLLOW, LOOP),
-)
-variant(
-    "v7.6",
-    "v7.7",
-    open_state=swap(PARTS["open_state"], (BLOCKED, blocked_until("speed order"))),
-    close_time=swap(PARTS["close_time"], ("'lead%not", "'%not")),
-    lead_state=swap(PARTS["lead_state"], ("'lead%not", "'%not")),
+V7_8 = Plain()
+V7_7 = replace(
+    V7_8, arms=(*OWN_DAY_CLOSES, PICKED_UP, BD, FUTURE, *ENDING), follow_up="coalesce(lrm_queue_entry_next_action_at, follow_up_datetime)"
 )
-variant(
-    "v7.5",
-    "v7.6",
-    open_state=swap(PARTS["open_state"], (BLOCKED, blocked_until("duplicate opportunity"))),
-    claimed=claimed(OWN_DATE, SPEED, PICKED_UP, BD, FUTURE, MEETING, FOLLOW, LOOP),
-)
-variant(
-    "v7.4",
-    "v7.5",
-    open_state=swap(PARTS["open_state"], (BLOCKED, blocked_until("new lead"))),
-    claimed=claimed(OWN_DATE, DEV, SPEED, PICKED_UP, BD, FUTURE, MEETING, FOLLOW, LOOP),
-    scored=swap(
-        PARTS["scored"],
-        (
-            "if(calls_30d < 2, 'L2', 'L3')",
-            "CASE WHEN no_md_ever AND stage_lc IN ('dev confirmation', 'dev scheduled', 'design created') THEN 'L5' "
-            "WHEN calls_30d < 2 THEN 'L2' ELSE 'L3' END",
-        ),
-    ),
-)
-variant("v7", "v7.4", claimed=claimed(STAGE_DATE, DEV, SPEED, PICKED_UP, BD, FUTURE, MEETING, FOLLOW, LOOP))
-variant(
-    "v6",
-    "v7",
-    scope_lead=swap(
-        PARTS["scope_lead"],
-        (f"created_at >= {AS_OF} - INTERVAL 6 MONTH AND ", ""),
-        ("'Booking Processing')", "'Booking Processing', 'Speed Order')"),
-    ),
-    open_state="SELECT * FROM lead_state",
-    turns=swap(PARTS["turns"], ("ILIKE 'meeting confirmed%'", "= 'Meeting Confirmed - Customer Home'")),
-    lead_fact=swap(
-        PARTS["lead_fact"],
-        (PROMISE_FIRST, "follow_up_datetime"),
-        ("[0-9]{2}')\n", "[0-9]{2}T')\n"),
-    ),
-    lead_state=swap(
-        VARIANTS["v7"]["lead_state"],
-        (
-            "coalesce(current_stage, '') ILIKE '%not qualified%'",
-            "(coalesce(current_stage, '') ILIKE '%not qualified%' OR coalesce(current_stage, '') ILIKE "
-            "'%lost in qualification%')",
-        ),
-    ),
-    claimed=claimed(STAGE_DATE_14, MEETING, FOLLOW, LOOP),
-    scored=PARTS["scored"],
+V7_6 = replace(V7_7, blocked=blocked_until("speed order"), ni="%not interested%")
+V7_5 = replace(V7_6, blocked=blocked_until("duplicate opportunity"), arms=(*OWN_DAY_CLOSES, SPEED, PICKED_UP, BD, FUTURE, *ENDING))
+UNMET = "no_md_ever AND stage_lc IN ('dev confirmation', 'dev scheduled', 'design created')"
+V7_4 = replace(
+    V7_5,
+    blocked=blocked_until("new lead"),
+    arms=(*OWN_DAY_CLOSES, DESIGN, DEV, SPEED, PICKED_UP, BD, FUTURE, *ENDING),
+    leak=other(V7_8.leak, followup_missed=f"CASE WHEN {UNMET} THEN 'L5' WHEN calls_30d < 2 THEN 'L2' ELSE 'L3' END"),
 )
-variant(
-    "v5",
-    "v6",
-    lead_fact=swap(VARIANTS["v6"]["lead_fact"], ("coalesce(nullif(trim(audit_stage), ''), stage)", "stage")),
-    claimed=claimed(
-        f"WHEN is_ni AND coalesce(stage_day, created_day) >= {TODAY} - 14 AND quiet >= 2 THEN 'not_interested'",
-        f"WHEN is_nq AND coalesce(stage_day, created_day) >= {TODAY} - 14 AND quiet >= 2 THEN 'not_qualified'",
-        MEETING,
-        FOLLOW,
-        LOOP,
+V7 = replace(V7_4, arms=(*closes("", "", SINCE_CLOSE), DESIGN, DEV, SPEED, PICKED_UP, BD, FUTURE, *ENDING))
+V6 = replace(
+    V7,
+    scope=(
+        f"updated_at >= {AS_OF} - INTERVAL 45 DAY",
+        "coalesce(status, '') NOT IN ('Closed - Won', 'Booked')",
+        "coalesce(stage, '') NOT IN ('Order Confirmed', 'Booking Processing', 'Speed Order')",
     ),
+    blocked=(),
+    confirmed="stage = 'Meeting Confirmed - Customer Home'",
+    follow_up="follow_up_datetime",
+    qualified=ISO_TIME,
+    is_nq=any_like("coalesce(current_stage, '')", "%not qualified%", "%lost in qualification%"),
+    arms=(*closes("", "", SINCE_14), *ENDING),
+    leak=V7_8.leak,
 )
-
-OPEN_ENDED_FOLLOW = f"WHEN due_day <= {TODAY} AND NOT attempt_today AND {NOT_CALLED} THEN 'followup_missed'"
-variant(
-    "v4",
-    "v5",
-    scope_lead=f"""
-SELECT * FROM crm_lead WHERE coalesce(is_delete, 0) = 0 AND coalesce(customer_is_delete, 0) = 0
-  AND updated_at >= {AS_OF} - INTERVAL 45 DAY""",
-    turns="""
-SELECT lead_id, count(*) FILTER (stage ILIKE '%call later%' OR stage ILIKE '%follow%' OR status ILIKE '%call later%'
-    OR status ILIKE '%could not connect%' OR status ILIKE '%cnc%' OR status ILIKE '%follow%') AS loop_turns,
-  count(*) FILTER (stage = 'Meeting Confirmed - Customer Home') AS mcch_events,
-  count(*) FILTER (stage = 'DEV Scheduled') AS dev_events, 0 AS md_events
-FROM scope_event GROUP BY lead_id""",
-    lead_state=f"""
-SELECT q.*,
-  CASE WHEN last_activity_at IS NULL THEN 'none' WHEN last_activity_at = last_call_at THEN 'call'
-       WHEN last_activity_at = last_stage_at THEN 'stage_change' WHEN last_activity_at = met_at THEN 'meeting_done'
-       ELSE 'followup_set' END AS last_activity_type,
-  CAST({TODAY} - coalesce(activity_day, created_day) AS BIGINT) AS quiet,
-  CAST(round(epoch({AS_OF} - last_activity_at) / 3600.0) AS BIGINT) AS hours_silent,
-  coalesce(done_day >= meeting_day, false) AS met,
-  coalesce(current_stage = 'NI', false) OR coalesce(status, '') ILIKE '%not interested%' AS is_ni,
-  coalesce(current_stage = 'NQ', false) OR coalesce(status, '') ILIKE '%not qualified%' AS is_nq
-FROM lead_quiet q""",
-    claimed=claimed(
-        f"WHEN meeting_day < {TODAY} AND NOT met AND coalesce(activity_day, created_day) <= meeting_day "
-        "THEN 'mcch_past'",
-        f"WHEN meeting_day > {TODAY} AND NOT met THEN 'mcch_future'",
-        "WHEN is_ni AND quiet >= 2 THEN 'not_interested'",
-        "WHEN is_nq AND quiet >= 2 THEN 'not_qualified'",
-        OPEN_ENDED_FOLLOW,
-        "WHEN loop_turns >= 3 AND mcch_events = 0 AND quiet >= 3 THEN 'followup_missed'",
-    ),
-    scored=swap(PARTS["scored"], ("ELSE least(quiet, 60) * 10 END", f"ELSE least(quiet, 60) * 10 + ({TODAY} - created_day) END")),
+FRESH_CLOSE = f"coalesce(stage_day, created_day) {SINCE_14} AND quiet >= 2"
+V5 = replace(
+    V6,
+    newest_stage=False,
+    arms=(claim(NI, f"is_ni AND {FRESH_CLOSE}"), claim(NQ, f"is_nq AND {FRESH_CLOSE}"), *ENDING),
 )
-EARLY_CLOSES = "WHEN current_stage = 'NI' THEN 'not_interested' WHEN current_stage = 'NQ' THEN 'not_qualified'"
-DONE_BEFORE = "(done_day IS NULL OR done_day < meeting_day)"
-variant(
-    "v3",
-    "v4",
-    milestone="""
-SELECT lead_id, created_at AS last_stage_at, meeting_confirmed_datetime AS meeting_confirmed_at, meeting_schedule_date,
-  meeting_done_date FROM scope_event
-QUALIFY row_number() OVER (PARTITION BY lead_id ORDER BY created_at DESC, event_id DESC) = 1""",
-    lead_calls=f"""
-SELECT p.lead_id, max(try_cast(c.created_at AS TIMESTAMP)) AS last_call_at, count(*) AS calls_30d,
-  count(*) FILTER (try_cast({digits_of('response_call_duration')} AS BIGINT) >= 15) AS connects_30d
-FROM lead_phone p JOIN crm_call c ON right({digits_of('call_to')}, 10) = p.ph10
-WHERE c.created_at >= strftime({AS_OF} - INTERVAL 45 DAY, '%Y-%m-%d') GROUP BY p.lead_id""",
-    lead_quiet=f"""
-SELECT f.*, {day('follow_up_at')} AS due_day,
-  greatest(last_stage_at, last_call_at, met_at, follow_up_at, updated_at) AS last_activity_at,
-  {day('greatest(last_stage_at, last_call_at, met_at, follow_up_at, updated_at)')} AS activity_day
-FROM lead_fact f""",
-    lead_state=swap(
-        VARIANTS["v4"]["lead_state"],
-        ("ELSE 'followup_set' END", "WHEN last_activity_at = follow_up_at THEN 'followup_set' ELSE 'crm_touch' END"),
-    ),
-    claimed=claimed(
-        f"WHEN meeting_day < {TODAY} AND {DONE_BEFORE} AND activity_day <= meeting_day THEN 'mcch_past'",
-        f"WHEN meeting_day > {TODAY} AND done_day IS NULL THEN 'mcch_future'",
-        EARLY_CLOSES,
-        OPEN_ENDED_FOLLOW,
-    ),
-    scored=swap(VARIANTS["v4"]["scored"], (" + least(loop_turns, 8) * 5", "")),
-    queue_row=swap(
-        PARTS["queue_row"],
-        ("coalesce(geo_cluster, geo_city, written_city)", "coalesce(geo_cluster, geo_city)"),
-        ("customer_name,", "CAST(NULL AS VARCHAR) AS customer_name,"),
+ANY_DUE = claim(MISSED, f"due_day <= {TODAY} AND {UNCALLED}")
+AGED = f"{QUIET_SCORE} * 10 + {days_since('created_day')}"
+V4 = replace(
+    V5,
+    scope=(f"updated_at >= {AS_OF} - INTERVAL 45 DAY",),
+    turn=any_like("stage", "%call later%", "%follow%") + " OR " + any_like("status", "%call later%", "%could not connect%", "%cnc%", "%follow%"),
+    signals=(("last_call_at", "call"), ("last_stage_at", "stage_change"), ("met_at", "meeting_done"), ("follow_up_at", "followup_set")),
+    silent_from="last_activity_at",
+    met="coalesce(done_day >= meeting_day, false)",
+    is_ni="coalesce(current_stage = 'NI', false) OR coalesce(status, '') ILIKE '%not interested%'",
+    is_nq="coalesce(current_stage = 'NQ', false) OR coalesce(status, '') ILIKE '%not qualified%'",
+    arms=(
+        claim(PAST, f"meeting_day < {TODAY} AND {UNSEEN}"),
+        MEETINGS[1],
+        claim(NI, "is_ni AND quiet >= 2"),
+        claim(NQ, "is_nq AND quiet >= 2"),
+        ANY_DUE,
+        claim(MISSED, f"{LOOPING} AND quiet >= 3"),
     ),
+    score=other(V7_8.score, not_interested=AGED, not_qualified=AGED),
 )
-EARLY_ARMS = (
-    f"WHEN meeting_day < {TODAY} AND {DONE_BEFORE} THEN 'mcch_past'",
-    f"WHEN meeting_day > {TODAY} AND done_day IS NULL THEN 'mcch_future'",
-    EARLY_CLOSES,
-    f"WHEN due_day <= {TODAY} AND NOT attempt_today THEN 'followup_missed'",
+BY_NAME = (claim(NI, "current_stage = 'NI'"), claim(NQ, "current_stage = 'NQ'"))
+UNDONE = f"meeting_day < {TODAY} AND coalesce(done_day < meeting_day, true)"
+STILL_AHEAD = claim(AHEAD, f"meeting_day > {TODAY} AND done_day IS NULL")
+V3 = replace(
+    V4,
+    milestones="newest",
+    since_assigned=False,
+    signals=(*V4.signals, ("updated_at", "crm_touch")),
+    arms=(claim(PAST, f"{UNDONE} AND activity_day <= meeting_day"), STILL_AHEAD, *BY_NAME, ANY_DUE),
+    score=other(V4.score, followup_missed=f"coalesce({days_since('due_day')}, 0) * 10 + {QUIET_SCORE}"),
+    place="geo_cluster, geo_city",
+    named=False,
 )
-DAYS = f"""CASE category WHEN 'mcch_past' THEN {TODAY} - meeting_day WHEN 'followup_missed' THEN {TODAY} - due_day"""
-variant(
-    "v2",
-    "v3",
-    scope_lead=swap(VARIANTS["v4"]["scope_lead"], ("45 DAY", "30 DAY")),
-    claimed=claimed(*EARLY_ARMS),
-    scored=f"""
-SELECT *, '' AS leak_code,
-  CAST({DAYS} WHEN 'mcch_future' THEN meeting_day - {TODAY} ELSE {TODAY} - created_day END AS BIGINT) AS rank_key,
-  CAST({DAYS} WHEN 'mcch_future' THEN 0 ELSE {TODAY} - created_day END AS BIGINT) AS overdue
-FROM claimed WHERE category IS NOT NULL""",
-    placed=swap(PARTS["placed"], ("rank_key DESC, quiet DESC", "rank_key DESC")),
+AGE, MET_AGO, DUE_AGO = days_since("created_day"), days_since("meeting_day"), days_since("due_day")
+V2 = replace(
+    V3,
+    scope=(f"updated_at >= {AS_OF} - INTERVAL 30 DAY",),
+    arms=(claim(PAST, UNDONE), STILL_AHEAD, *BY_NAME, claim(MISSED, f"due_day <= {TODAY} AND NOT attempt_today")),
+    leak=(),
+    score=((PAST, MET_AGO), (MISSED, DUE_AGO), (AHEAD, f"-{MET_AGO}"), (NI, AGE), (NQ, AGE)),
+    late=((PAST, MET_AGO), (MISSED, DUE_AGO), (AHEAD, "0"), (NI, AGE), (NQ, AGE)),
+    rank_by="PARTITION BY lrm_id, category ORDER BY rank_key DESC, created_at DESC, lead_id",
 )
-variant(
-    "v1",
-    "v2",
-    open_state=f"""
-SELECT s.* REPLACE (EXISTS (SELECT 1 FROM crm_call c, crm_lead l WHERE l.lead_id = s.lead_id
-    AND right({digits_of('c.call_to')}, 10) = right({digits_of('l.customer_phone_number')}, 10)
-    AND c.call_type = 'Manual' AND {day('try_cast(c.created_at AS TIMESTAMP)')} = {TODAY}) AS attempt_today)
-FROM lead_state s""",
-    scored=f"""
-SELECT *, '' AS leak_code, CAST({DAYS} ELSE 0 END AS BIGINT) AS rank_key,
-  CAST({DAYS} WHEN 'mcch_future' THEN 0 ELSE {TODAY} - {day('status_changed_at')} END AS BIGINT) AS overdue
-FROM claimed WHERE category IS NOT NULL""",
-    placed="""
-SELECT *, row_number() OVER (PARTITION BY category ORDER BY rank_key DESC, created_at DESC, lead_id)
-  AS lrm_category_rank FROM scored""",
-    queue_row=swap(
-        PARTS["queue_row"],
-        ("coalesce(geo_cluster, geo_city, written_city)", "coalesce(geo_cluster, geo_city)"),
-        ("WHERE lrm_category_rank <= 20", ""),
-    ),
+BY_HAND = f"""ph10 IN (SELECT {phone('call_to')} FROM crm_call
+    WHERE call_type = 'Manual' AND {day('try_cast(created_at AS TIMESTAMP)')} = {TODAY} AND {phone('call_to')} <> '')"""
+CLOSED_AGO = days_since(day("order_closure_datetime"))
+V1 = replace(
+    V2,
+    attempt=BY_HAND,
+    score=((PAST, MET_AGO), (MISSED, DUE_AGO), (AHEAD, "0"), (NI, "0"), (NQ, "0")),
+    late=((PAST, MET_AGO), (MISSED, DUE_AGO), (AHEAD, "0"), (NI, CLOSED_AGO), (NQ, CLOSED_AGO)),
+    rank_by="PARTITION BY category ORDER BY rank_key DESC, created_at DESC, lead_id",
+    top=None,
+    named=True,
 )
+
+PLAIN = {
+    "v7.8": V7_8, "v7.7": V7_7, "v7.6": V7_6, "v7.5": V7_5, "v7.4": V7_4, "v7": V7,
+    "v6": V6, "v5": V5, "v4": V4, "v3": V3, "v2": V2, "v1": V1,
+}
+VARIANTS: dict[str, dict[str, str]] = {name: {**PARTS, **audit_parts(p)} for name, p in PLAIN.items()}

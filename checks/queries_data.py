@@ -507,7 +507,7 @@ def sample_n(spark, sf_dir):
     FROM (SELECT right({digits_of('call_to')}, 10) AS ph10, try_cast(created_at AS TIMESTAMP) AS call_at,
       coalesce(try_cast({digits_of('response_call_duration')} AS BIGINT) >= 15, false) AS connected FROM crm_call
       WHERE created_at >= '2024-01-01' AND created_at < 'n' AND call_type = 'Manual') d
-    JOIN lead_phone p ON d.ph10 = p.ph10 AND (p.assigned_at IS NULL OR d.call_at >= p.assigned_at) GROUP BY lead_id""",
+    JOIN open_lead p ON length(p.ph10) = 10 AND d.ph10 = p.ph10 AND coalesce(d.call_at >= p.assigned_at, p.assigned_at IS NULL) GROUP BY lead_id""",
 )
 def dial_filter(spark, sf_dir):
     """The optional filter on the call type: dials made by hand only."""

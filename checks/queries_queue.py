@@ -70,7 +70,7 @@ def project_queue(spark, sf_dir):
 
 @register(
     "base_open_funnel",
-    f"SELECT lead_id, {iso('created_at')} AS created_at, {iso('updated_at')} AS updated_at, status, stage FROM scope_lead",
+    f"SELECT lead_id, {iso('created_at')} AS created_at, {iso('updated_at')} AS updated_at, status, stage FROM open_lead",
 )
 def base_open_funnel(spark, sf_dir):
     return texts(scoped(spark, sf_dir).select("lead_id", "created_at", "updated_at", "status", "stage"))
@@ -78,9 +78,7 @@ def base_open_funnel(spark, sf_dir):
 
 @register(
     "stage_blocklist",
-    f"""SELECT lead_id, coalesce(nullif(trim(audit_stage), ''), stage) AS current_stage
-    FROM scope_lead LEFT JOIN newest_event USING (lead_id)
-    WHERE lower(trim(coalesce(nullif(trim(audit_stage), ''), stage, ''))) NOT IN {BLOCKED}""",
+    "SELECT lead_id, current_stage FROM audit_row WHERE NOT blocked",
 )
 def stage_blocklist(spark, sf_dir):
     return enrich.not_blocked(facts(spark, sf_dir), RULES).select("lead_id", "current_stage")
@@ -116,7 +114,7 @@ def clock(spark, sf_dir):
 @register(
     "cross_cfg",
     f"""SELECT lead_id, '{'2024-01-31'}' AS today, '2024-01-01' AS close_from, 14 AS breach_window_days,
-      CAST({TODAY} - {day('created_at')} AS BIGINT) AS age_days FROM scope_lead""",
+      CAST({TODAY} - {day('created_at')} AS BIGINT) AS age_days FROM open_lead""",
 )
 def cross_cfg(spark, sf_dir):
     """Clock and thresholds are literals on every row; there is nothing to join."""
@@ -133,9 +131,7 @@ def cross_cfg(spark, sf_dir):
 
 @register(
     "current_stage",
-    f"""SELECT lead_id, coalesce(nullif(trim(audit_stage), ''), stage) AS current_stage,
-    {iso('audit_stage_at')} AS current_stage_at, stage AS lead_table_stage
-    FROM scope_lead LEFT JOIN newest_event USING (lead_id)""",
+    f"SELECT lead_id, current_stage, {iso('last_stage_at')} AS current_stage_at, stage AS lead_table_stage FROM audit_row",
 )
 def current_stage(spark, sf_dir):
     return texts(facts(spark, sf_dir).select("lead_id", "current_stage", "current_stage_at", "lead_table_stage"))
@@ -143,9 +139,7 @@ def current_stage(spark, sf_dir):
 
 @register(
     "stage_mismatch",
-    """SELECT lead_id, coalesce(nullif(trim(audit_stage), ''), stage) AS current_stage, stage AS lead_table_stage
-    FROM scope_lead JOIN newest_event USING (lead_id)
-    WHERE trim(audit_stage) <> '' AND trim(audit_stage) IS DISTINCT FROM trim(coalesce(stage, ''))""",
+    "SELECT lead_id, current_stage, stage AS lead_table_stage FROM audit_row WHERE stage_differs",
 )
 def stage_mismatch(spark, sf_dir):
     rows = facts(spark, sf_dir).filter("stage_mismatch")
@@ -173,7 +167,7 @@ def follow_up_at(spark, sf_dir):
 @register(
     "silence",
     f"""SELECT lead_id, {iso('last_activity_at')} AS last_activity_at, last_activity_type, quiet AS quiet_days, hours_silent
-    FROM open_state""",
+    FROM audit_row WHERE NOT blocked""",
 )
 def silence(spark, sf_dir):
     return texts(
@@ -183,21 +177,23 @@ def silence(spark, sf_dir):
 
 @register(
     "greatest_activity",
-    f"""SELECT lead_id, {iso('greatest(last_stage_at, first_meeting_done_date, follow_up_datetime)')} AS last_activity_at
-    FROM scope_lead LEFT JOIN milestone USING (lead_id)""",
+    f"""SELECT lead_id, {iso('greatest(last_stage_at, last_call_at, met_at, follow_up_at)')} AS last_activity_at,
+      CAST({TODAY} - coalesce({day('greatest(last_stage_at, last_call_at, met_at, follow_up_at)')}, created_day) AS BIGINT) AS quiet_days
+    FROM audit_row""",
 )
 def greatest_activity(spark, sf_dir):
-    rows = facts(spark, sf_dir)
-    newest = F.greatest("last_stage_at", "meeting_done_touch", "follow_up_datetime_raw")
-    return texts(rows.select("lead_id", newest.alias("last_activity_at")))
+    """The four signals of every open lead, blocked ones too, through the operator that credits them."""
+    open_leads = facts(spark, sf_dir)
+    dialled = calls.call_stats(scoped(spark, sf_dir), crm.call_log(spark, sf_dir), CLOCK)
+    rows = enrich.with_silence(enrich.with_calls(open_leads, dialled), RULES, CLOCK)
+    return texts(rows.select("lead_id", "last_activity_at", "quiet_days"))
 
 
 @register(
     "activity_union",
     f"""SELECT lead_id, {iso('max(seen_at)')} AS last_activity_at FROM (
-      SELECT lead_id, last_stage_at AS seen_at FROM lead_fact UNION ALL SELECT lead_id, last_call_at FROM lead_fact
-      UNION ALL SELECT lead_id, met_at FROM lead_fact UNION ALL SELECT lead_id, follow_up_at FROM lead_fact)
-    WHERE lead_id IN (SELECT lead_id FROM open_state) GROUP BY lead_id""",
+      SELECT lead_id, unnest([last_stage_at, last_call_at, met_at, follow_up_at]) AS seen_at FROM audit_row WHERE NOT blocked)
+    GROUP BY lead_id""",
 )
 def activity_union(spark, sf_dir):
     """Signals "unioned, newest wins" is a row-wise maximum: no union and no shuffle."""
@@ -233,7 +229,7 @@ def valid_phone(spark, sf_dir):
       coalesce(geo_cluster, geo_city, nullif(trim(site_address_city), ''), nullif(trim(meeting_address_city), ''))
         AS cluster,
       trim(concat_ws(' ', first_name, last_name)) AS lrm_name, {mail_key('emails')} AS lrm_email
-    FROM crm_lead LEFT JOIN place ON pin = coalesce(nullif(trim(site_address_pin_code), ''),
+    FROM crm_lead LEFT JOIN pin_place ON pin = coalesce(nullif(trim(site_address_pin_code), ''),
       nullif(trim(meeting_address_pin_code), '')) LEFT JOIN crm_user ON user_id = assigned_lrm""",
 )
 def place_and_names(spark, sf_dir):
@@ -285,7 +281,7 @@ def active_pincode(spark, sf_dir):
 
 
 def stage_flag(name: str, sql_test: str):
-    @register(name, f"SELECT current_stage, {sql_test} AS {name}, count(*) AS leads FROM open_state GROUP BY ALL")
+    @register(name, f"SELECT current_stage, {sql_test} AS {name}, count(*) AS leads FROM audit_row WHERE NOT blocked GROUP BY ALL")
     def run(spark, sf_dir):
         return (
             states(spark, sf_dir)
@@ -309,7 +305,7 @@ stage_flag("no_md_ever", "no_md_ever")
 # ---- history, dials, places ------------------------------------------------------------
 
 
-@register("semi_base", "SELECT lead_id, count(*) AS events, max(event_id) AS last_id FROM scope_event GROUP BY lead_id")
+@register("semi_base", "SELECT lead_id, count(*) AS events, max(event_id) AS last_id FROM crm_event SEMI JOIN open_lead USING (lead_id) GROUP BY lead_id")
 def semi_base(spark, sf_dir):
     ids = scoped(spark, sf_dir).select("lead_id")
     events = prefilter(crm.lead_history(spark, sf_dir), ids, "lead_id")
@@ -339,7 +335,7 @@ def distinct_on(spark, sf_dir):
 
 @register(
     "terminal_dates",
-    f"SELECT lead_id, {iso('ni_at')} AS ni_at, {iso('nq_at')} AS nq_at FROM close_time",
+    f"SELECT lead_id, {iso('ni_at')} AS ni_at, {iso('nq_at')} AS nq_at FROM lead_events SEMI JOIN open_lead USING (lead_id)",
 )
 def terminal_dates(spark, sf_dir):
     rows = history.closing_dates(crm.lead_history(spark, sf_dir), RULES)
@@ -369,7 +365,7 @@ def loop_counts(spark, sf_dir):
 
 @register(
     "join_calls",
-    f"SELECT lead_id, {iso('last_call_at')} AS last_call_at, calls_30d, connects_30d FROM lead_calls",
+    f"SELECT lead_id, {iso('last_call_at')} AS last_call_at, calls_30d, connects_30d FROM lead_dials",
 )
 def join_calls(spark, sf_dir):
     return texts(calls.call_stats(scoped(spark, sf_dir), crm.call_log(spark, sf_dir), CLOCK))
@@ -385,14 +381,16 @@ def call_stats(spark, sf_dir):
     return texts(calls.dials_by_phone(dials))
 
 
-@register("geo_rollup", "SELECT pin AS pin_key, geo_cluster, geo_city FROM place")
+@register("geo_rollup", "SELECT pin AS pin_key, geo_cluster, geo_city FROM pin_place")
 def geo_rollup(spark, sf_dir):
     return enrich.geo_rollup(crm.geo(spark, sf_dir))
 
 
 @register(
     "join_geo",
-    """SELECT lead_id, pin AS pin_key, geo_cluster, geo_city FROM lead_fact LEFT JOIN place USING (pin)""",
+    """SELECT lead_id, k AS pin_key, geo_cluster, geo_city FROM (SELECT lead_id,
+      coalesce(nullif(trim(site_address_pin_code), ''), nullif(trim(meeting_address_pin_code), '')) AS k FROM open_lead)
+    LEFT JOIN pin_place ON pin = k""",
 )
 def join_geo(spark, sf_dir):
     leads = scoped(spark, sf_dir).select("lead_id", population.pin_key().alias("pin_key"))
@@ -403,7 +401,7 @@ def join_geo(spark, sf_dir):
 @register(
     "join_user",
     f"""SELECT lead_id, assigned_lrm AS lrm_id, trim(concat_ws(' ', first_name, last_name)) AS lrm_name,
-    {mail_key('emails')} AS lrm_email FROM scope_lead LEFT JOIN crm_user ON user_id = assigned_lrm""",
+    {mail_key('emails')} AS lrm_email FROM open_lead LEFT JOIN crm_user ON user_id = assigned_lrm""",
 )
 def join_user(spark, sf_dir):
     leads = scoped(spark, sf_dir).select("lead_id", F.col("assigned_lrm").alias("lrm_id"))
@@ -414,7 +412,7 @@ def join_user(spark, sf_dir):
     "join_enrich",
     f"""SELECT lead_id, current_stage, {iso('last_stage_at')} AS last_stage_at, CAST(ni_day AS VARCHAR) AS ni_ist,
     CAST(nq_day AS VARCHAR) AS nq_ist, {iso('meeting_schedule_date')} AS meeting_schedule_date, loop_turns, mcch_events,
-    {iso('last_call_at')} AS last_call_at, calls_30d, connects_30d FROM open_state""",
+    {iso('last_call_at')} AS last_call_at, calls_30d, connects_30d FROM audit_row WHERE NOT blocked""",
 )
 def join_enrich(spark, sf_dir):
     return texts(
@@ -428,27 +426,27 @@ def join_enrich(spark, sf_dir):
 # ---- rules and ranks -------------------------------------------------------------------
 
 
-@register("categorise", "SELECT lead_id, category FROM scored")
+@register("categorise", "SELECT lead_id, category FROM flagged_row")
 def categorise(spark, sf_dir):
     return flagged(spark, sf_dir).select("lead_id", "category")
 
 
-@register("leak_code", "SELECT lead_id, category, leak_code, calls_30d, connects_30d FROM scored")
+@register("leak_code", "SELECT lead_id, category, leak_code, calls_30d, connects_30d FROM flagged_row")
 def leak_code(spark, sf_dir):
     return flagged(spark, sf_dir).select("lead_id", "category", "leak_code", "calls_30d", "connects_30d")
 
 
-@register("rank_key", "SELECT lead_id, category, rank_key FROM scored")
+@register("rank_key", "SELECT lead_id, category, rank_key FROM flagged_row")
 def rank_key(spark, sf_dir):
     return flagged(spark, sf_dir).select("lead_id", "category", "rank_key")
 
 
-@register("overdue_days", "SELECT lead_id, category, overdue AS overdue_days FROM scored")
+@register("overdue_days", "SELECT lead_id, category, overdue AS overdue_days FROM flagged_row")
 def overdue_days(spark, sf_dir):
     return flagged(spark, sf_dir).select("lead_id", "category", "overdue_days")
 
 
-@register("lrm_category_rank", "SELECT lead_id, lrm_id, category, rank_key, lrm_category_rank FROM placed")
+@register("lrm_category_rank", "SELECT lead_id, lrm_id, category, rank_key, lrm_category_rank FROM ranked_row")
 def lrm_category_rank(spark, sf_dir):
     """Every rank, not only the first twenty: groups are cut into slices."""
     ranked = plan.all_ranks(flagged(spark, sf_dir), RULES)
@@ -457,7 +455,7 @@ def lrm_category_rank(spark, sf_dir):
 
 @register(
     "topk_lrm_category",
-    "SELECT lead_id, lrm_id, category, lrm_category_rank FROM placed WHERE lrm_category_rank <= 20",
+    "SELECT lead_id, lrm_id, category, lrm_category_rank FROM ranked_row WHERE lrm_category_rank <= 20",
 )
 def topk_lrm_category(spark, sf_dir):
     return plan.ranked(flagged(spark, sf_dir), RULES).select("lead_id", "lrm_id", "category", "lrm_category_rank")
@@ -483,12 +481,12 @@ def category_profile(spark, sf_dir):
     return quality.category_profile(plan.build_queue(crm.crm_tables(spark, sf_dir), CLOCK, sort=False))
 
 
-@register("count_by_category", "SELECT category, count(*) AS n FROM scored GROUP BY category")
+@register("count_by_category", "SELECT category, count(*) AS n FROM flagged_row GROUP BY category")
 def count_by_category(spark, sf_dir):
     return quality.count_by_category(flagged(spark, sf_dir))
 
 
-@register("month_changeover", "SELECT category, count(*) AS n FROM scored GROUP BY category", parts=three_days_later())
+@register("month_changeover", "SELECT category, count(*) AS n FROM flagged_row GROUP BY category", parts=three_days_later())
 def month_changeover(spark, sf_dir):
     """The same data three days into the next month: closes are still audited from 1 January."""
     later = Clock(datetime(2024, 2, 3, 9, 30, tzinfo=timezone.utc))

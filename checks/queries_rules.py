@@ -43,7 +43,7 @@ for _rules in r.RULE_SETS.values():
 
 @register(
     "rank_v1",
-    "SELECT lead_id, category, rank_key, lrm_category_rank AS category_rank FROM placed",
+    "SELECT lead_id, category, rank_key, lrm_category_rank AS category_rank FROM ranked_row",
     parts=VARIANTS["v1"],
 )
 def rank_v1(spark, sf_dir):
@@ -53,7 +53,7 @@ def rank_v1(spark, sf_dir):
 
 @register(
     "rank_v2",
-    "SELECT lead_id, lrm_id, category, rank_key, lrm_category_rank FROM placed WHERE lrm_category_rank <= 20",
+    "SELECT lead_id, lrm_id, category, rank_key, lrm_category_rank FROM ranked_row WHERE lrm_category_rank <= 20",
     parts=VARIANTS["v2"],
 )
 def rank_v2(spark, sf_dir):
@@ -65,7 +65,7 @@ def migration_sql() -> str:
     """Both rule sets over the same data; each keeps its own copies of the fragments."""
 
     def own(name: str) -> str:
-        return f"({with_parts('SELECT lead_id, category FROM scored', VARIANTS[name])})"
+        return f"({with_parts('SELECT lead_id, category FROM flagged_row', VARIANTS[name])})"
 
     return f"""SELECT coalesce(o.category, '(none)') AS old_category, coalesce(n.category, '(none)') AS new_category,
       count(*) AS leads FROM {own('v6')} o FULL JOIN {own('v7.8')} n USING (lead_id) GROUP BY ALL"""
