@@ -266,7 +266,7 @@ COUNTS_SQL = f"""
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = served(spark, sf_dir)
+    s = serve.kept(served(spark, sf_dir))
     source = crm.lead(spark, sf_dir).agg(F.count(F.lit(1))).scalar()
     return quality.pull_counts(s.all_rows, s.queue, s.hierarchy, source)
 
@@ -360,10 +360,11 @@ def scope_queue(spark, sf_dir):
     FROM sight v""",
 )
 def scope_payload(spark, sf_dir):
-    s = served(spark, sf_dir)
+    s = serve.kept(served(spark, sf_dir))
     mapping = org.mapping_latest(crm.mapping_rows(spark, sf_dir))
-    given = access.access_latest(crm.access_rows(spark, sf_dir))
-    return access.scope_payload(s.queue, s.hierarchy, s.unmapped, roles(spark, sf_dir, s.hierarchy), mapping, given)
+    given = written(access.access_latest(crm.access_rows(spark, sf_dir)), "access")
+    people = written(access.resolve_roles(crm.viewers(spark, sf_dir), s.hierarchy, given, crm.ADMINS), "roles")
+    return access.scope_payload(s.queue, s.hierarchy, s.unmapped, people, mapping, given)
 
 
 # ---- reviews ---------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,7 +136,10 @@ def scope_payload(
     mapping: DataFrame,
     overrides: DataFrame,
 ) -> DataFrame:
-    """What each viewer is served: rows of queue and chart, and the lists only admins get."""
+    """What each viewer is served: rows of queue and chart, and the lists only admins get.
+
+    Pass kept tables (`serve.kept`): queue and chart are each read more than once.
+    """
     shown = visibility(roles, hierarchy)
     grants = team_grants(roles, hierarchy)
     per_owner = queue.groupBy("lrm_email").agg(F.count(F.lit(1)).alias("rows"))
@@ -147,19 +151,20 @@ def scope_payload(
     )
     zero = F.lit(0).cast("bigint")
     admin = F.col("role") == "admin"
-
-    def count(df: DataFrame) -> Column:
-        return df.agg(F.count(F.lit(1))).scalar()
+    # one row of totals: each list says what it is, and one aggregate counts them all
+    lists = {"queue": queue, "chart": hierarchy, "unmapped": unmapped, "mapping": mapping, "auditors": overrides.filter(F.col("role") == "auditor")}
+    tagged = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("list")) for name, df in lists.items()])
+    totals = tagged.agg(F.struct(*[F.count_if(F.col("list") == name).alias(name) for name in lists]).alias("t")).scalar()
 
     return shown.join(limited, "viewer_email", "left").select(
         "viewer_email",
         "role",
         "override_role",
         "see_all",
-        F.when(F.col("see_all"), count(queue)).otherwise(F.coalesce("own_rows", zero)).alias("queue_rows"),
-        F.when(F.col("see_all"), count(hierarchy)).otherwise(F.coalesce("own_reps", zero)).alias("hierarchy_rows"),
-        F.when(admin, count(unmapped)).otherwise(zero).alias("unmapped_rows"),
-        F.when(admin, count(mapping)).otherwise(zero).alias("mapping_rows"),
-        count(overrides.filter(F.col("role") == "auditor")).alias("auditors"),
+        F.when(F.col("see_all"), totals["queue"]).otherwise(F.coalesce("own_rows", zero)).alias("queue_rows"),
+        F.when(F.col("see_all"), totals["chart"]).otherwise(F.coalesce("own_reps", zero)).alias("hierarchy_rows"),
+        F.when(admin, totals["unmapped"]).otherwise(zero).alias("unmapped_rows"),
+        F.when(admin, totals["mapping"]).otherwise(zero).alias("mapping_rows"),
+        totals["auditors"].alias("auditors"),
         F.when(F.col("role") == "tl", F.col("viewer_email")).otherwise("").alias("me_email"),
     )

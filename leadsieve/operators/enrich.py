@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,11 @@ def with_nulls(df: DataFrame, names: tuple[str, ...], kind: str) -> DataFrame:
 
 def lead_facts(base: DataFrame, history: DataFrame, rules: r.RuleSet) -> DataFrame:
     """One row per lead in scope with its history facts and the columns the rules read."""
-    wide = base.join(history, "lead_id", "left")
+    return facts_row(base.join(history, "lead_id", "left"), rules)
+
+
+def facts_row(wide: DataFrame, rules: r.RuleSet, carry: Sequence[str] = ()) -> DataFrame:
+    """The columns the rules read from a lead and its history facts on one row; `carry` are kept too."""
     wide = with_nulls(with_nulls(wide, EMPTY_TIMES, "timestamp"), ("audit_stage",), "string")
     if rules.stage_from_history:
         stage, mismatch = pop.current_stage(), pop.stage_mismatch()
@@ -43,6 +49,7 @@ def lead_facts(base: DataFrame, history: DataFrame, rules: r.RuleSet) -> DataFra
         stage, mismatch = F.col("stage"), F.lit(False)
     shape = ISO_INSTANT_PREFIX if rules.qualified_with_time else ISO_DATE_PREFIX
     out = wide.select(
+        *carry,
         "lead_id",
         pop.customer_name().alias("customer_name"),
         pop.pin_key().alias("pin_key"),

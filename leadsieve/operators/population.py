@@ -26,19 +26,23 @@ def none_of(name: str, values: tuple[str, ...]) -> Column:
     return F.col(name).isNull() | ~F.col(name).isin(*values)
 
 
-def open_funnel(leads: DataFrame, clock: Clock, rules) -> DataFrame:
-    """Undeleted, recent, recently touched leads that are not closed in the lead table."""
-    out = leads.filter(not_set("is_delete") & not_set("customer_is_delete"))
+def is_open(clock: Clock, rules) -> Column:
+    """Undeleted, recent, recently touched and not closed in the lead table."""
+    out = not_set("is_delete") & not_set("customer_is_delete")
     if rules.max_age_months is not None:
-        out = out.filter(F.col("created_at") >= instant(clock.months_ago(rules.max_age_months)))
-    out = out.filter(F.col("updated_at") >= instant(clock.days_ago(rules.touched_days)))
+        out = out & (F.col("created_at") >= instant(clock.months_ago(rules.max_age_months)))
+    out = out & (F.col("updated_at") >= instant(clock.days_ago(rules.touched_days)))
     if rules.closed_statuses:
-        out = out.filter(none_of("status", rules.closed_statuses))
+        out = out & none_of("status", rules.closed_statuses)
     if rules.closed_stages:
-        out = out.filter(none_of("stage", rules.closed_stages))
+        out = out & none_of("stage", rules.closed_stages)
     return out
 
 
+def open_funnel(leads: DataFrame, clock: Clock, rules) -> DataFrame:
+    return leads.filter(is_open(clock, rules))
+
+
 def lead_phones(leads: DataFrame) -> DataFrame:
     """(lead_id, ph10, assigned_at) of the leads with a full phone number."""
     return leads.select(

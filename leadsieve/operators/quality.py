@@ -123,32 +123,47 @@ def pull_counts(all_rows: DataFrame, served: DataFrame, hierarchy: DataFrame, so
     """One row of counts along the pipeline: source, queue, hierarchy, the two joined.
 
     `all_rows` are the day's rows before they were scoped to the hierarchy and `served` those
-    after. Distinct addresses are counted through a grouping, so a hot one costs one row.
+    after; pass kept tables. Every row names its values, (space, value, side), once; one grouping by
+    space and value, combined map-side, tells which sides know a value, and one sum over it gives all
+    counts, the distinct ones too. A hot value is one partial row per task.
     """
-    lost = out_of_org(all_rows, hierarchy)
-    seen, known = mail_set(served), mail_set(hierarchy)
 
-    def count(df: DataFrame) -> Column:
-        return df.agg(F.count(F.lit(1))).scalar()
+    def item(space: str, value: Column, **sides: Column) -> Column:
+        flags = {x: sides.get(x, F.lit(0)).cast("int") for x in ("queue", "named", "chart", "lost")}
+        return F.struct(F.lit(space).alias("space"), null_to_blank(value).alias("value"), *[c.alias(x) for x, c in flags.items()])
 
-    one = served.agg(
-        F.count(F.lit(1)).alias("queue_rows"),
-        F.count_if(null_to_blank(F.col("lrm_email")) == "").alias("blank_mails"),
-        F.count_if(F.col("lrm_email_source") == "name").alias("resolved_by_name"),
-    )
-    return one.select(
-        "*",
-        source_rows.alias("source_rows"),
-        count(lost).alias("excluded_rows"),
-        count(lost.select(owner_key()).distinct()).alias("excluded_lrms"),
-        count(hierarchy).alias("hierarchy_rows"),
-        count(seen).alias("lrms_in_queue"),
-        count(known).alias("lrms_in_map"),
-        count(seen.intersect(known)).alias("lrms_in_both"),
-        count(seen.exceptAll(known)).alias("lrms_unmatched"),
-        count(mail_set(hierarchy, "tl_email")).alias("tls_in_map"),
-        count(served.select(F.trim("lrm_name").alias("n")).filter(F.col("n") != "").distinct()).alias("names_in_queue"),
+    def items(df: DataFrame, *found: Column) -> DataFrame:
+        return df.select(F.explode(F.array(*found)).alias("i")).select("i.*")
+
+    one, mail = F.lit(1), F.col("lrm_email")
+    by_name = F.coalesce(F.col("lrm_email_source") == "name", F.lit(False))
+    everything = (
+        items(served, item("mail", mail, queue=one, named=by_name), item("name", F.trim("lrm_name"), queue=one))
+        .unionByName(items(hierarchy, item("mail", mail, chart=one), item("tl", F.col("tl_email"), chart=one)))
+        .unionByName(items(out_of_org(all_rows, hierarchy), item("owner", owner_key(), lost=one)))
     )
+    known = everything.groupBy("space", "value").agg(*[F.sum(x).alias(x) for x in ("queue", "named", "chart", "lost")])
+    space, filled = F.col("space"), F.col("value") != ""
+    in_queue, in_chart = F.col("queue") > 0, F.col("chart") > 0
+    is_mail = space == "mail"
+
+    def total(test: Column, side: str) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col(side))), F.lit(0)).cast("bigint")
+
+    return known.agg(
+        total(is_mail, "queue").alias("queue_rows"),
+        total(is_mail & ~filled, "queue").alias("blank_mails"),
+        total(is_mail, "named").alias("resolved_by_name"),
+        total(space == "owner", "lost").alias("excluded_rows"),
+        F.count_if(space == "owner").alias("excluded_lrms"),
+        total(is_mail, "chart").alias("hierarchy_rows"),
+        F.count_if(is_mail & filled & in_queue).alias("lrms_in_queue"),
+        F.count_if(is_mail & filled & in_chart).alias("lrms_in_map"),
+        F.count_if(is_mail & filled & in_queue & in_chart).alias("lrms_in_both"),
+        F.count_if(is_mail & filled & in_queue & ~in_chart).alias("lrms_unmatched"),
+        F.count_if((space == "tl") & filled).alias("tls_in_map"),
+        F.count_if((space == "name") & filled).alias("names_in_queue"),
+    ).withColumn("source_rows", source_rows)
 
 
 def pull_verdict(counts: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +13,12 @@ from pyspark.sql import functions as F
 from leadsieve.config import DEFAULT_ALIAS, Clock, MailAlias
 from leadsieve.operators import enrich
 from leadsieve.operators.calls import call_stats, manual_dials_today
-from leadsieve.operators.history import history_facts
-from leadsieve.operators.population import open_funnel
-from leadsieve.operators.rules import CURRENT, RuleSet
+from leadsieve.operators.history import history_facts, history_facts_of_all
+from leadsieve.operators.population import is_open, open_funnel
+from leadsieve.operators.rules import CURRENT, RuleSet, category
 from leadsieve.operators.skew import ordering, rank_in_group, top_in_group
 from leadsieve.session import written
+from leadsieve.sources.schemas import LEAD
 
 RANK = "lrm_category_rank"
 
@@ -34,6 +38,15 @@ def scoped_leads(tables: CrmTables, clock: Clock, rules: RuleSet = CURRENT) -> D
     return open_funnel(tables.lead, clock, rules)
 
 
+def stored_scope(leads: DataFrame) -> DataFrame:
+    """Open leads with the columns of the lead schema, written once.
+
+    Ids, phones, assignment times and the wide row are all read from it, so the lead table is scanned
+    and filtered a single time.
+    """
+    return written(leads.select(*[c for c in leads.columns if c in LEAD.names or c.startswith("_")]), "scope")
+
+
 def audited_facts(
     tables: CrmTables, clock: Clock, rules: RuleSet = CURRENT, keep_dials: Column | None = None
 ) -> DataFrame:
@@ -41,7 +54,7 @@ def audited_facts(
 
     Leads and history meet on lead_id once. The blocklist runs before the dial totals join.
     """
-    base = scoped_leads(tables, clock, rules)
+    base = stored_scope(scoped_leads(tables, clock, rules))
     history = history_facts(tables.history, base.select("lead_id"), rules)
     facts = enrich.not_blocked(enrich.lead_facts(base, history, rules), rules)
     stats = None
@@ -108,8 +121,8 @@ def build_queue(
     keep_dials: Column | None = None,
     sort: bool = True,
 ) -> DataFrame:
-    """The queue of one day under one rule set. Lazy: one job when it is written. (Only the
-    first rule set, which has no cut, stores its flagged leads on the way.)
+    """The queue of one day under one rule set. The open leads are stored when this is called (and,
+    under the first rule set, which has no cut, the flagged ones); the rest runs when it is written.
 
     Owner and place are only shown, never tested, so they are looked up after the cut to the
     top rows of each owner and category.
@@ -135,18 +148,50 @@ def final_places(queue: DataFrame) -> DataFrame:
     return rank_in_group(queue, [], output_order(queue), "place").orderBy("place")
 
 
-def rule_migration(
-    tables: CrmTables, clock: Clock, before: RuleSet, after: RuleSet
-) -> DataFrame:
+def categories_by_set(tables: CrmTables, clock: Clock, sets: Sequence[RuleSet]) -> DataFrame:
+    """(lead_id, c0, c1, ...): each lead's category under each rule set, NULL where it is in no queue.
+
+    One pass for all sets: the lead table is filtered by any of their scopes and stored, the history
+    is aggregated once, dials once for each way of counting them, and then every rule set reads the
+    same row.
+    """
+    scopes = [is_open(clock, rules) for rules in sets]
+    marks = {f"_open{i}": F.coalesce(scope, F.lit(False)) for i, scope in enumerate(scopes)}
+    base = stored_scope(tables.lead.filter(reduce(or_, scopes)).withColumns(marks))
+    wide = base.join(history_facts_of_all(tables.history, base.select("lead_id"), sets), "lead_id", "left")
+    ways = list(dict.fromkeys((x.call_days, x.calls_since_assignment) for x in sets if x.uses_calls))
+    for n, (days, since) in enumerate(ways):
+        stats = call_stats(base, tables.call_log, clock, days=days, since_assignment=since)
+        wide = wide.join(stats.select("lead_id", F.struct("last_call_at", "calls_30d", "connects_30d").alias(f"_calls{n}")), "lead_id", "left")
+    if any(x.attempt_from_manual_dials for x in sets):
+        dialled = manual_dials_today(base, tables.call_log, clock).withColumn("_dialled", F.lit(True))
+        wide = wide.join(dialled, "lead_id", "left")
+    rows = wide.select(F.struct("*").alias("_w"))
+    done: list[str] = []
+    for i, rules in enumerate(sets):
+        view = rows.select("_w", *done, *[F.col(f"_w.{c}") for c in base.columns], f"_w.f{i}.*")
+        carry = ["_w", *done, f"_open{i}"]
+        if rules.uses_calls:
+            n = ways.index((rules.call_days, rules.calls_since_assignment))
+            view = view.select("*", f"_w._calls{n}.*")
+            facts = enrich.facts_row(view, rules, [*carry, "last_call_at"])
+        else:
+            facts = enrich.with_calls(enrich.facts_row(view, rules, carry), None)
+        if rules.attempt_from_manual_dials:
+            facts = facts.withColumn("attempt_today", F.coalesce("_w._dialled", F.lit(False)))
+        facts = enrich.with_stage_flags(enrich.with_silence(facts, rules, clock), rules)
+        queued = F.col(f"_open{i}") & ~F.col("stage_lc").isin(rules.blocked) if rules.blocked else F.col(f"_open{i}")
+        rows = facts.select("_w", *done, F.when(queued, category(rules, clock)).alias(f"c{i}"))
+        done.append(f"c{i}")
+    return rows.select(F.col("_w.lead_id").alias("lead_id"), *done)
+
+
+def rule_migration(tables: CrmTables, clock: Clock, before: RuleSet, after: RuleSet) -> DataFrame:
     """How many leads move from one category to another between two rule sets."""
-    old = flagged_leads(tables, clock, before).select("lead_id", F.col("category").alias("old_category"))
-    new = flagged_leads(tables, clock, after).select("lead_id", F.col("category").alias("new_category"))
     out = F.lit("(none)")
     return (
-        old.join(new, "lead_id", "full_outer")
-        .groupBy(
-            F.coalesce("old_category", out).alias("old_category"),
-            F.coalesce("new_category", out).alias("new_category"),
-        )
+        categories_by_set(tables, clock, [before, after])
+        .filter(F.col("c0").isNotNull() | F.col("c1").isNotNull())
+        .groupBy(F.coalesce("c0", out).alias("old_category"), F.coalesce("c1", out).alias("new_category"))
         .agg(F.count(F.lit(1)).alias("leads"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from leadsieve.config import DEFAULT_ALIAS, MailAlias
 from leadsieve.operators import org
+from leadsieve.session import written
 
 
 @dataclass(frozen=True)
@@ -43,5 +44,23 @@ def serve_queue(queue: DataFrame, hierarchy: DataFrame, per_owner: int = org.PER
     )
 
 
+def kept(served: Served) -> Served:
+    """Every stage of the day's pull as a stored table, each computed once.
+
+    What is asked of a pull afterwards, its counts, each viewer's payload, the lists only admins get,
+    reads these tables instead of deriving chart and queue again.
+    """
+    hierarchy = written(served.hierarchy, "chart")
+    rows = written(served.all_rows, "pull")
+    scoped = org.in_org(rows, hierarchy)
+    return Served(
+        all_rows=rows,
+        in_org=scoped,
+        queue=written(org.trim_per_owner(scoped), "served"),
+        hierarchy=hierarchy,
+        unmapped=written(org.unmapped_owners(rows, hierarchy), "unmapped"),
+    )
+
+
 def team_worklists(served: Served) -> DataFrame:
     return org.tl_pick(org.with_hierarchy(served.queue, served.hierarchy, ["tl_email", "tl_name"]))

@@ -88,3 +88,31 @@ def test_without_any_broadcast(spark, sf_dir, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert problem == ""
+
+
+def scans(df) -> int:
+    text = explained(df)
+    return len(re.findall(r"^.*\bScan parquet\b", text[: text.index("\n(1)")], re.M))
+
+
+@pytest.mark.parametrize("name", ["distinct_counts", "pull_verdict", "scope_payload"])
+def test_metrics_read_kept_tables(spark, sf_dir, name):
+    assert scans(entry.queries()[name](spark, sf_dir)) <= 10
+
+
+def test_lead_and_history_are_read_once_by_a_queue_and_by_two_rule_sets(stored):
+    """The open leads are stored once, before the plan below; what it reads is that table."""
+    for df in (plan.build_queue(stored, crm.CLOCK, sort=False), plan.rule_migration(stored, crm.CLOCK, r.V6, r.V7_8)):
+        text = explained(df)
+        places = re.findall(r"Location: InMemoryFileIndex ?\[(\S+?)\]", text)
+        assert sum(x.endswith("/lead") for x in places) == 0
+        assert sum(x.endswith("/lead_history") for x in places) == 1
+
+
+def test_two_rule_sets_over_one_row_are_the_two_queues(stored):
+    for before, after in ((r.V6, r.V7_8), (r.V1, r.V3), (r.V2, r.V7_4)):
+        both = plan.categories_by_set(stored, crm.CLOCK, [before, after])
+        for i, rules in enumerate((before, after)):
+            alone = plan.flagged_leads(stored, crm.CLOCK, rules).select("lead_id", "category")
+            joint = both.filter(f"c{i} IS NOT NULL").select("lead_id", f"c{i}")
+            assert sorted(map(tuple, joint.collect())) == sorted(map(tuple, alone.collect()))
