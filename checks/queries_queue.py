@@ -28,6 +28,9 @@ from leadsieve.operators import calls, enrich, history, population, quality
 from leadsieve.operators import rules as r
 from leadsieve.operators.skew import lookup_join, prefilter
 from leadsieve.plans import queue as plan
+from leadsieve.session import scratch_path
+from leadsieve.sources.schemas import LEAD_HISTORY
+from leadsieve.streaming import latest
 
 CLOCK = crm.CLOCK
 RULES = r.CURRENT
@@ -322,6 +325,23 @@ def latest_stage(spark, sf_dir):
     return texts(history.latest_stage(crm.lead_history(spark, sf_dir)))
 
 
+@register(
+    "latest_stage_kept",
+    """SELECT lead_id, stage AS audit_stage, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS audit_stage_at FROM crm_event
+    QUALIFY row_number() OVER (PARTITION BY lead_id ORDER BY created_at DESC NULLS LAST, event_id DESC) = 1""",
+)
+def latest_stage_kept(spark, sf_dir):
+    """The same from a stream: events arrive in three files, the oldest last, and one file twice."""
+    root = scratch_path(spark, "followed")
+    events = crm.lead_history(spark, sf_dir)
+    age = F.floor(F.datediff(CLOCK.today_col(), F.col("created_at")) / 30).cast("int")
+    events.withColumn("batch", F.least(age, F.lit(2))).repartition("batch").write.partitionBy("batch").parquet(f"{root}/in")
+    for name in ("batch=0", "batch=1", "batch=2", "batch=0"):
+        done = latest.follow(spark, f"{root}/in/{name}", LEAD_HISTORY, f"{root}/kept", f"{root}/seen-{scratch_path(spark, 'x')[-8:]}", files_per_batch=1)
+        done.awaitTermination()
+    return texts(latest.read_latest(spark, f"{root}/kept"))
+
+
 @register(
     "distinct_on",
     """SELECT lead_id, event_id, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created_at, stage FROM crm_event
