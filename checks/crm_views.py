@@ -47,6 +47,8 @@ STAGES = (
     "DEV Done",
     "Lost In Qualification",
 )
+#: A third of the leads and of the dials are on this number; the others grow with the tables.
+HOT_PHONE = 7
 CALL_TYPES = ("Manual", "Progressive", "IVR", "Inbound")
 TIMES = ("09:30 AM", "9:30pm", "13:00 PM", "soon")
 
@@ -97,7 +99,7 @@ def lead(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("customer_first_name"),
         F.when(k % 4 == 0, "M").alias("customer_middle_name"),
         F.concat(F.lit("C"), c).alias("customer_last_name"),
-        F.when(k % 19 != 0, F.concat(F.lit("+91 98"), padded(c % 150))).alias("customer_phone_number"),
+        F.when(k % 19 != 0, F.concat(F.lit("+91 98"), padded(F.when(k % 3 == 0, HOT_PHONE).otherwise(c)))).alias("customer_phone_number"),
         F.when(k % 23 != 0, F.concat(F.lit("s"), c % 100)).alias("assigned_lrm"),
         F.when(k % 27 == 0, "n/a").when(k % 5 != 0, iso(ago(k * 5 % 40, k % 7))).alias("lrm_assigned_at"),
         F.when(k % 2 == 0, F.when(k % 5 == 0, F.concat(pin, F.lit(" "))).otherwise(pin))
@@ -137,7 +139,7 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     at = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("098"), padded(F.col("user_id"))).alias("call_to"),
+        F.concat(F.lit("098"), padded(F.when(e % 3 == 0, HOT_PHONE).otherwise(F.col("user_id")))).alias("call_to"),
         F.when(e % 97 == 0, "not dialled").otherwise(at).alias("created_at"),
         F.when(
             e % 11 != 0,
