@@ -3,14 +3,17 @@
 A text is a weighted set of five-word shingles. Improved consistent weighted sampling (Ioffe 2010)
 draws `BANDS * ROWS` shingles from it so that two texts draw the same one with a probability equal
 to their weighted Jaccard similarity; `ROWS` draws in a row make a band, and texts that share a band
-are candidates. A candidate pair is a link if the similarity of the two whole texts is at least
-`THRESHOLD`.
+are candidates. One byte of each draw is kept as a sketch: candidates whose sketches agree in fewer
+than half of the draws are dropped before any text is read (a pair at a similarity of 0.8 with a
+chance below 1e-6). A remaining pair is a link if the similarity of the two whole texts is at least
+`THRESHOLD`. Texts are thus shuffled for likely links only, not for whatever shares a common shingle.
 
 Candidates of a band are first compared with its smallest member only, so a family of thousands
 costs thousands of comparisons. Where that leaves several components in a band, all pairs across
-them are compared: pair by pair in small bands, and in large ones in blocks of bounded size, in which
-weighted sets become rows of a matrix and a task returns a forest of its links, not its pairs. No
-band is cut.
+them are compared: pair by pair in small bands, and in large ones in blocks of bounded size. A block
+first looks at sketches; the members that agree with one of another component then bring their
+texts, weighted sets become rows of a matrix, and a task returns a forest of its links, not its
+pairs. No band is cut.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from leadsieve.llm.common import map_batches, small_batches, stored, texts_of
 from leadsieve.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 14, 4
+#: Share of the draws in which the sketches of a candidate pair agree at least.
+LIKELY = 0.5
 #: Document frequencies are kept by a hash of the shingle, so their table never grows. The weight
 #: of a shingle is its count times 1 (in every document) to 1 + SPREAD (in none other): a family of
 #: copies makes its own shingles frequent, and full weights would tear it apart.
@@ -207,29 +212,60 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, in
 
 
 def signatures(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, h1, h2, bands): a digest of the text and its bands; a text without words has none."""
+    """(doc_id, h1, h2, bands, sketch): a digest of the text, its bands and a byte of each draw; a text without words has none."""
     schema = T.StructType(
-        [docs.schema[id_col], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+        [docs.schema[id_col], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]
+        + [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
     )
 
     def make():
         weights = shared.value
 
         def work(batch):
-            h1, h2, bands = [], [], []
+            h1, h2, bands, sketches = [], [], [], []
             for text in texts_of(batch, text_col):
                 digest = np.frombuffer(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), dtype=np.int64)
                 keys, w, _ = weights.of(text)
                 h1.append(int(digest[0]))
                 h2.append(int(digest[1]))
-                bands.append(bands_of(draw(keys, w)) if len(keys) else [])
-            return [batch.column(id_col), h1, h2, bands]
+                drawn = draw(keys, w) if len(keys) else np.empty(0, dtype=np.uint64)
+                bands.append(bands_of(drawn) if len(keys) else [])
+                sketches.append((drawn >> np.uint64(40)).astype(np.uint8).tobytes())
+            return [batch.column(id_col), h1, h2, bands, sketches]
 
         return work
 
     return map_batches(docs.select(id_col, text_col), make, schema)
 
 
+def sketch_rows(column, draws: int = BANDS * ROWS) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(-1, draws)
+
+
+def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches agree in `LIKELY` of the draws; only sketches are shuffled."""
+    left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+    wide = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                same = sketch_rows(batch.column("sa").to_pylist()) == sketch_rows(batch.column("sb").to_pylist())
+                keep = pa.array(same.mean(axis=1) >= LIKELY)
+                yield pa.RecordBatch.from_arrays([batch.column(x).filter(keep) for x in ("a", "b")], names=["a", "b"])
+
+    return wide.mapInArrow(run, "a long, b long")
+
+
+def only(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    return texts.join(nodes.distinct(), "node", "left_semi")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
 def compared(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
     """(a, b, sim) of the pairs; the texts (node, text) are shuffled by node once for both ends."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
@@ -258,28 +294,28 @@ def compared(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
 
 
 def text_links(nodes: DataFrame, texts: DataFrame, shared, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, component) of the nodes (node, bands) that have a link."""
+    """(node, component) of the nodes (node, bands, sketch) that have a link."""
     bands = nodes.select("node", F.explode("bands").alias("key"))
     first = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     bands = stored(bands.join(first, "key"), "dedup-bands")  # only bands that two or more share
-    shared_by = bands.select("node").distinct()
-    texts = stored(texts.join(shared_by, "node", "left_semi"), "dedup-texts")
-    pairs = bands.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    tried = stored(compared(pairs, texts, shared), "dedup-pairs")
-    links = tried.where(F.col("sim") >= threshold)
+    sketches = nodes.select("node", "sketch")
+
+    def linked_pairs(pairs: DataFrame) -> DataFrame:
+        found = stored(likely(pairs, sketches), "dedup-likely")
+        sims = compared(found, only(texts, ends(found)), shared)
+        return stored(sims.where(F.col("sim") >= threshold).select("a", "b"), "dedup-links")
+
+    links = linked_pairs(bands.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     linked = stored(components(links), "dedup-components")
 
     members = bands.select("key", "node")
     small = apart(members, linked, "n <= {}".format(SMALL))
     x, y = (small.select("key", F.col("node").alias(n), F.col("component").alias(f"_{n}")) for n in "ab")
-    pairs = x.join(y, "key").where("a > b AND _a <> _b").select("a", "b").distinct()
-    pairs = stored(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "dedup-further")
-    links = links.select("a", "b").unionByName(compared(pairs, texts, shared).where(F.col("sim") >= threshold).select("a", "b"))
-    links = stored(links, "dedup-links")
+    links = links.unionByName(linked_pairs(x.join(y, "key").where("a > b AND _a <> _b").select("a", "b").distinct()))
     linked = stored(components(links), "dedup-components")
 
     large = stored(apart(members, linked, "n > {}".format(SMALL)), "dedup-large")
-    found = stored(block_links(large, texts, shared, threshold), "dedup-blocks")
+    found = stored(block_links(large, texts, sketches, shared, threshold), "dedup-blocks")
     return stored(components(links.unionByName(found)), "dedup-components")
 
 
@@ -298,11 +334,12 @@ def apart(members: DataFrame, linked: DataFrame, size: str) -> DataFrame:
     return now.join(one, "key").select("key", "node", "component", (F.col("component") != F.col("main")).alias("outside"))
 
 
-def block_links(large: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
+def block_links(large: DataFrame, texts: DataFrame, sketches: DataFrame, shared, threshold: float) -> DataFrame:
     """(node, root): links across components within large bands, as a forest in each block.
 
     A block is a slice of the members outside the band's largest component against a slice of all
-    members. A task holds two slices; what it returns is not more than it got.
+    members. It gets the sketches of its members first, and the texts of those that agree with one
+    of another component after that. A task holds two slices; what it returns is not more than it got.
     """
     slices = large.groupBy("key").agg(
         F.ceil(F.sum(F.col("outside").cast("int")) / SLICE).cast("int").alias("_x"), F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("_y")
@@ -314,7 +351,23 @@ def block_links(large: DataFrame, texts: DataFrame, shared, threshold: float) ->
     more = placed.where("outside").select(
         "key", "node", "component", F.lit(True).alias("centre"), F.explode(F.sequence(F.lit(0), F.col("_y") - 1)).alias("_j"), centre.alias("_i")
     )
-    wide = rows.unionByName(more).join(texts, "node").select("key", "_i", "_j", "node", "component", "centre", "text")
+    block = ["key", "_i", "_j", "node", "component", "centre"]
+    sketched = rows.unionByName(more).join(sketches, "node").select(*block, "sketch")
+
+    def agree(df: pd.DataFrame) -> pd.DataFrame:
+        centre, component = df["centre"].to_numpy(), df["component"].to_numpy()
+        sketch = sketch_rows(df["sketch"])
+        same = np.zeros((int(centre.sum()), int((~centre).sum())), dtype=np.int32)
+        for k in range(sketch.shape[1]):
+            same += sketch[centre, k][:, None] == sketch[~centre, k][None, :]
+        hit = (same >= LIKELY * sketch.shape[1]) & (component[centre][:, None] != component[~centre][None, :])
+        keep = np.zeros(len(df), dtype=bool)
+        keep[centre], keep[~centre] = hit.any(axis=1), hit.any(axis=0)
+        return df.loc[keep, block]
+
+    near = sketched.groupBy("key", "_i", "_j").applyInPandas(agree, "key long, _i int, _j int, node long, component long, centre boolean")
+    near = stored(near, "dedup-near")
+    wide = near.join(only(texts, near.select("node")), "node").select(*block, "text")
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         weights = shared.value
@@ -392,9 +445,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = spark.sparkContext.broadcast(Weights(*frequencies(docs)))
     signed = stored(signatures(docs, shared, "doc_id", "text"), "dedup-signatures")
     usable = signed.where(F.col("doc_id").isNotNull() & (F.size("bands") > 0))
-    nodes = stored(usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "dedup-nodes")
+    nodes = stored(usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "dedup-nodes")
     texts = docs.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node")
-    linked = text_links(nodes.select("node", "bands"), texts, shared, threshold)
+    linked = text_links(nodes.select("node", "bands", "sketch"), texts, shared, threshold)
     classes = nodes.select("h1", "h2", "node").join(linked, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("class_id"))
     out = usable.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class_id")
     lone = signed.where(F.col("doc_id").isNull() | (F.size("bands") == 0)).select("doc_id", F.col("doc_id").alias("class_id"))
