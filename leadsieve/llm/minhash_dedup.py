@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +39,8 @@ LIKELY = 0.5
 #: of a shingle is its count times 1 (in every document) to 1 + SPREAD (in none other): a family of
 #: copies makes its own shingles frequent, and full weights would tear it apart.
 DF_BUCKETS, SPREAD = 1 << 18, 0.25
-#: Largest band whose pairs are rows; members of a slice in the blocks of larger ones.
-SMALL, SLICE = 8, 128
+#: Largest band whose pairs are rows; members of a slice in the blocks of larger ones, sketches and texts.
+SMALL, SKETCH_SLICE, SLICE = 8, 2048, 128
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a hash that choose a row in a table of random numbers.
@@ -334,6 +334,27 @@ def apart(members: DataFrame, linked: DataFrame, size: str) -> DataFrame:
     return now.join(one, "key").select("key", "node", "component", (F.col("component") != F.col("main")).alias("outside"))
 
 
+def in_blocks(rows: DataFrame, group: list[str], size: int) -> DataFrame:
+    """`rows` of each group with a block (_i, _j): slices of the centres against slices of the others.
+
+    A centre is in one slice of centres and meets all slices of others, and the other way round. Groups
+    of up to `size` on each side are one block.
+    """
+    centre = F.col("centre").cast("int")
+    sizes = rows.groupBy(*group).agg(
+        F.greatest(F.lit(1), F.ceil(F.sum(centre) / size)).cast("int").alias("_x"),
+        F.greatest(F.lit(1), F.ceil(F.sum(1 - centre) / size)).cast("int").alias("_y"),
+    )
+
+    def slices(mine: str) -> Column:
+        """The row's own slice on its side, all slices on the other."""
+        own = F.array(F.pmod(F.xxhash64(F.lit(size), "node"), F.col(mine)).cast("int"))
+        return F.when(F.col("centre") == F.lit(mine == "_x"), own).otherwise(F.sequence(F.lit(0), F.col(mine) - 1))
+
+    placed = rows.join(sizes, group).withColumn("_i", F.explode(slices("_x")))
+    return placed.withColumn("_j", F.explode(slices("_y"))).drop("_x", "_y")
+
+
 def block_links(large: DataFrame, texts: DataFrame, sketches: DataFrame, shared, threshold: float) -> DataFrame:
     """(node, root): links across components within large bands, as a forest in each block.
 
@@ -341,18 +362,12 @@ def block_links(large: DataFrame, texts: DataFrame, sketches: DataFrame, shared,
     members. It gets the sketches of its members first, and the texts of those that agree with one
     of another component after that. A task holds two slices; what it returns is not more than it got.
     """
-    slices = large.groupBy("key").agg(
-        F.ceil(F.sum(F.col("outside").cast("int")) / SLICE).cast("int").alias("_x"), F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("_y")
-    )
-    placed = large.join(slices, "key")
-    mine = F.pmod(F.xxhash64("node"), F.col("_y")).cast("int")
-    rows = placed.select("key", "node", "component", F.lit(False).alias("centre"), mine.alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_x") - 1)).alias("_i"))
-    centre = F.pmod(F.xxhash64(F.lit("centre"), "node"), F.col("_x")).cast("int")
-    more = placed.where("outside").select(
-        "key", "node", "component", F.lit(True).alias("centre"), F.explode(F.sequence(F.lit(0), F.col("_y") - 1)).alias("_j"), centre.alias("_i")
+    # all members stand on one side, those outside the largest component on the other one too
+    both = large.select("key", "node", "component", F.lit(False).alias("centre")).unionByName(
+        large.where("outside").select("key", "node", "component", F.lit(True).alias("centre"))
     )
     block = ["key", "_i", "_j", "node", "component", "centre"]
-    sketched = rows.unionByName(more).join(sketches, "node").select(*block, "sketch")
+    sketched = in_blocks(both, ["key"], SKETCH_SLICE).join(sketches, "node").select(*block, "sketch")
 
     def agree(df: pd.DataFrame) -> pd.DataFrame:
         centre, component = df["centre"].to_numpy(), df["component"].to_numpy()
@@ -366,8 +381,9 @@ def block_links(large: DataFrame, texts: DataFrame, sketches: DataFrame, shared,
         return df.loc[keep, block]
 
     near = sketched.groupBy("key", "_i", "_j").applyInPandas(agree, "key long, _i int, _j int, node long, component long, centre boolean")
-    near = stored(near, "dedup-near")
-    wide = near.join(only(texts, near.select("node")), "node").select(*block, "text")
+    near = stored(near.withColumnsRenamed({"_i": "_a", "_j": "_b"}), "dedup-near")
+    cells = in_blocks(near, ["key", "_a", "_b"], SLICE)
+    wide = cells.join(only(texts, near.select("node")), "node").select("_a", "_b", *block, "text")
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         weights = shared.value
@@ -393,7 +409,7 @@ def block_links(large: DataFrame, texts: DataFrame, sketches: DataFrame, shared,
                 out.append((max(a, b), min(a, b)))
         return pd.DataFrame(out, columns=["a", "b"]).rename(columns={"a": "node", "b": "root"}).astype("int64")
 
-    return wide.groupBy("key", "_i", "_j").applyInPandas(run, "node long, root long").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return wide.groupBy("key", "_a", "_b", "_i", "_j").applyInPandas(run, "node long, root long").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def leveled(keys: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
