@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from leadsieve.llm import binary_packing, prefix_trie, vector_codes
+from leadsieve.llm import binary_packing, minhash_dedup, prefix_trie, vector_codes
 from leadsieve.llm.common import table, tokenizer
 from tests.llm.conftest import LONG, ODD
 
@@ -253,3 +253,33 @@ def test_buckets_and_batches(spark, sf_dir):
     again = {(r.sequence_id, r.batch) for r in binary_packing.batches(sequences, 1024).collect()}
     assert again == {(r.sequence_id, r.batch) for r in rows}
     sequences.unpersist()
+
+
+# ---------------------------------------------------------------- near-duplicates in large bands
+
+
+def test_near_duplicates_around_a_common_passage(spark, monkeypatch):
+    """Families that share a passage fill the same bands; every level of the blocks is used."""
+    for name, size in (("SKETCH_SLICE", 20), ("SLICE", 6), ("SMALL", 4)):
+        monkeypatch.setattr(minhash_dedup, name, size)
+    rng, rows = random.Random(5), []
+    for f in range(40):
+        words = [f"c{i}" for i in range(60)] + [f"f{f}w{i}" for i in range(rng.choice([3, 6, 10, 30]))]
+        for _ in range(rng.randint(1, 8)):
+            rows.append((len(rows), " ".join(w if rng.random() > 0.004 else f"x{rng.random()}" for w in words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = minhash_dedup.Weights(*minhash_dedup.frequencies(df))
+    sets, up = [weights.of(t) for _, t in rows], list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if minhash_dedup.similarity(sets[i], sets[j]) >= minhash_dedup.THRESHOLD:
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(df).collect()}
+    assert got == {i: top(i) for i in got} and len(got) == len(rows) > len(set(got.values())) > 1
