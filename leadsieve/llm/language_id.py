@@ -9,9 +9,8 @@ flags ambiguous texts. Learned on the driver from a bounded, hash-ordered sample
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +27,8 @@ FOLDS, HELD = 3, 1
 UNKNOWN = "und"
 #: Bytes hashed at once, so that a text of any length takes bounded memory.
 _SPAN = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters by category: fractions, Roman numerals and circled digits are none.
+_LETTER = regex.compile(r"\p{L}")
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
@@ -116,17 +116,21 @@ def learn(texts: list[str], labels: list[str]) -> Model:
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, longest: int) -> tuple[list[str], list[str]]:
     """At most `per_language` texts of each language outside the held-out fold, the first by a hash.
 
-    The cut runs before the shuffle (Spark's group limit), so a language with a third of all rows
-    sends few of them.
+    Only these rows say which languages there are. The last hash of each language is found on hashes
+    alone, cut before the shuffle (Spark's group limit); then the texts up to it are read, repeated
+    rows once.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).where(
         F.col("_lang").isNotNull() & (crc_mod(F.col("_id"), FOLDS) != HELD) & F.octet_length("_text").between(1, longest)
     )
-    languages = docs.select(lang_col).distinct().count()
+    rows = rows.withColumn("_hash", F.xxhash64("_id", "_text"))
+    languages = rows.select("_lang").distinct().count()
     per_language = max(1, min(per_language, MOST_TEXTS // max(1, languages)))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id", "_text"), "_id"))
-    found = rows.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("_id", "_lang", "_text").collect()
-    found.sort(key=lambda r: (r["_lang"], str(r["_id"]), r["_text"]))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))
+    first = rows.select("_lang", "_hash").withColumn("_rank", rank).where(F.col("_rank") <= per_language)
+    last = first.groupBy("_lang").agg(F.max("_hash").alias("_last"))
+    drawn = rows.join(last, "_lang").where(F.col("_hash") <= F.col("_last")).groupBy("_lang", "_hash").agg(F.min("_text").alias("_text"))
+    found = sorted(drawn.collect(), key=lambda r: (r["_lang"], r["_hash"]))
     found = [r for r in found if _LETTER.search(r["_text"])]
     return [r["_text"] for r in found], [r["_lang"] for r in found]
 
