@@ -1,16 +1,18 @@
 """Secrets in texts: three fixed patterns, and tokens that a battery of randomness tests picks out.
 
-A token (a run of base64-like characters with a digit and a letter) is read in the smallest
-encoding that holds its characters. Chi-squared uniformity over that alphabet, a runs test around
-the alphabet's middle and the lag-1 serial correlation must all fit a uniform random string.
-
-Fitting is not evidence, least of all for short tokens. The evidence is the likelihood of the token
-as a uniform string of its encoding against that as an ordinary identifier, whose characters stay in
-their class (lower, upper, digit, sign) nine times out of ten. Under the identifier model the ratio
-has mean 1, so its reciprocal is a p-value, and it can only be small if the token is long enough.
-Benjamini-Hochberg over all tokens of the corpus, apart for each doubling of the length, then bounds
-the share of false discoveries. It needs only how many tokens have which p-value, in half powers
-of two.
+A token (a run of base64-like characters with a letter) is read whole and, where signs divide it, by
+its parts, in the smallest encoding that holds its characters. Two kinds of evidence make its p-value.
+
+The likelihood of the token as a uniform string of its encoding is set against that as an ordinary
+identifier, whose characters tend to stay in their class (lower, upper, digit, sign) and whose letters
+come as often as in written words. Under the identifier model the ratio has mean 1, so its reciprocal is
+a p-value, and it can only be small if the token is long enough. The battery (chi-squared uniformity
+over the alphabet, a runs test around its middle, the lag-1 serial correlation) says how well the token
+fits a uniform random string; its p-value, at most 1, divides the other, so that what fits badly needs
+as much more evidence. The best reading of a run counts, times the number of its readings.
+
+Benjamini-Hochberg over all runs of the corpus, apart for each doubling of the length, then bounds
+the share of false discoveries. It needs only how many have which p-value, in half powers of two.
 """
 
 from __future__ import annotations
@@ -33,14 +35,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # longest runs, so the same as all runs without the short ones
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-TOKEN = re.compile(r"(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Characters that a token needs, and the runs of which tokens are read.
+LEAST = 16
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+PART = re.compile(r"[A-Za-z0-9]{16,}")
 
-#: Level of false discoveries, and the least p-value of the battery that still fits.
+#: Level of false discoveries; classes that stay; lower case after upper case (as in `CamelCase`).
 FDR = 0.01
-FITS = 0.001
 STAY = 0.9
+CAPITAL = 0.5
 MAX_BIN = 200
 
+#: Letters of English text, per ten thousand, a to z.
+LETTER_SHARES = (817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7)
+
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings from the smallest alphabet to the largest; the first that holds a token is taken.
 ALPHABETS = tuple(
@@ -97,36 +105,48 @@ def battery(values: list[int], size: int) -> float:
     return min(1.0, 3 * min(uniform, runs_p, serial))
 
 
-def _kind_of(c: str) -> tuple[int, int]:
-    """The class of a character and how many characters that class has."""
-    if c.isdigit():
-        return 0, 10
-    if c.islower():
-        return 1, 26
-    return (2, 26) if c.isupper() else (3, 4)
+_LETTER_TOTAL = sum(LETTER_SHARES)
+#: The class of a character (digit, lower, upper, sign) and its share of that class.
+_CHARACTERS = {
+    **{c: (0, 1 / 10) for c in _DIGITS},
+    **{c: (1, n / _LETTER_TOTAL) for c, n in zip(_LOWER, LETTER_SHARES, strict=True)},
+    **{c: (2, n / _LETTER_TOTAL) for c, n in zip(_UPPER, LETTER_SHARES, strict=True)},
+    **{c: (3, 1 / 4) for c in "+/_-"},
+}
+
+
+def _moves(before: int) -> list[float]:
+    """Chances of the next character's class in an identifier."""
+    if before == 2:  # a capital is followed by capitals or by the rest of its word
+        return [(1 - CAPITAL) * (1 - STAY) / 2, CAPITAL, (1 - CAPITAL) * STAY, (1 - CAPITAL) * (1 - STAY) / 2]
+    return [STAY if k == before else (1 - STAY) / 3 for k in range(4)]
+
+
+_MOVES = [_moves(k) for k in range(4)]
 
 
 def evidence(token: str, size: int) -> float:
     """log2 of the likelihood as a uniform string of `size` characters over that as an identifier."""
     out, before = 0.0, None
     for c in token:
-        kind, many = _kind_of(c)
-        move = 1 / 4 if before is None else STAY if kind == before else (1 - STAY) / 3
-        out += math.log2(many / (move * size))
+        kind, share = _CHARACTERS[c]
+        move = 1 / 4 if before is None else _MOVES[before][kind]
+        out -= math.log2(share * move * size)
         before = kind
     return out
 
 
 def judge(token: str) -> tuple[int, int] | None:
-    """(length class, half powers of two of the p-value) of a token that fits randomness, else None."""
+    """(length class, half powers of two of the p-value) of a token with a letter, else None."""
     body = token.rstrip("=")
     if not any(c.isalpha() for c in body):
         return None
-    alphabet = next(x for x in ALPHABETS if all(c in x for c in body))
-    step = int(math.log2(len(body)))
-    if battery([alphabet[c] for c in body], len(alphabet)) < FITS:
-        return step, 0
-    return step, int(min(MAX_BIN, max(0.0, 2 * evidence(body, len(alphabet)))))
+    seen = set(body)
+    alphabet = next(x for x in ALPHABETS if all(c in x for c in seen))
+    bits = evidence(body, len(alphabet))
+    if bits > 0:
+        bits += math.log2(max(battery([alphabet[c] for c in body], len(alphabet)), 2.0**-MAX_BIN))
+    return int(math.log2(len(body))), int(min(MAX_BIN, max(0.0, 2 * bits)))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -142,11 +162,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def token_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, length class, p-value step) of the tokens that no fixed pattern touches."""
-    out = []
+    """(start, end, length class, p-value step) of the best reading of every run: whole, or its parts.
+
+    A reading inside one fixed span is that span's; one that reaches beyond it is judged like any other.
+    """
+    outer: list[tuple[int, int]] = []  # without spans inside others, so that ends rise with starts
+    for start, _, end in base:
+        if outer and outer[-1][0] == start and end > outer[-1][1]:
+            outer.pop()
+        if not outer or end > outer[-1][1]:
+            outer.append((start, end))
+    out, at = [], 0
     for m in TOKEN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base) and (found := judge(m.group())):
-            out.append((m.start(), m.end(), *found))
+        while at < len(outer) and outer[at][1] <= m.start():
+            at += 1
+        near, upto = [], at
+        while upto < len(outer) and outer[upto][0] < m.end():
+            near.append(outer[upto])
+            upto += 1
+        places = [(m.start(), m.end())]
+        body = m.group().rstrip("=")
+        if not body.isalnum():
+            places += [(m.start() + p.start(), m.start() + p.end()) for p in PART.finditer(body)]
+        read = [(s, e, judge(text[s:e])) for s, e in places if not any(b <= s and e <= c for b, c in near)]
+        read = [(s, e, *found) for s, e, found in read if found]
+        if not read:
+            continue
+        tests = math.ceil(2 * math.log2(len(read)))
+        read = [(s, e, step, max(0, p - tests)) for s, e, step, p in read]
+        whole, parts = read[0], read[1:]
+        if (whole[0], whole[1]) != places[0]:
+            out += read
+        elif parts and max(p for *_, p in parts) > whole[3]:
+            out += parts
+        else:
+            out.append(whole)
     return out
 
 
