@@ -1,10 +1,13 @@
 """Mix sources to target weights by Pareto order sampling.
 
-A source whose target is `r` times its size takes every document floor(r) times for certain; one
-more copy of each document is included with odds f / (1 - f), f = r - floor(r). Documents are
-ranked by their random odds divided by their inclusion odds (Rosen's Pareto order sampling), and
-the sample is the head of that order whose words come nearest to what the target still lacks: its
-size is fixed, the draws are not independent, and every document of a source has the same chance.
+A source's target is dealt to its documents as expected copies, at most two of each and more of
+short documents than of long ones, so that repeats don't rest on a few huge texts: `L` times the
+rate of the document's length, with the one level `L` at which the source's expected words are its
+target. The whole part of a document's copies is allocated for certain; the rest is the probability
+p with which one more copy is included. Documents are ranked by random odds u / (1 - u) divided by
+inclusion odds p / (1 - p) (Rosen's Pareto order sampling), and the sample is the head of that
+order whose words come nearest to what the target still lacks: its size is fixed in words, the
+probabilities are unequal, the draws are not independent.
 
 The order is never one sort: ranks are cut into slices of (0, 1), slices are summed, and only the
 slice in which the target falls is ordered by row.
@@ -21,6 +24,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SLICES = 4096
+#: The rate of a length with k binary digits is RATE div (k + 1): whole numbers, whose sums are exact.
+RATE = 2520
 
 
 def n_words(text: Column) -> Column:
@@ -60,22 +65,56 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return per.select("source", "source_size", target.alias("target"))
 
 
+def length_class(size: Column) -> Column:
+    """Binary digits of a size."""
+    return F.length(F.bin(size)).cast("int")
+
+
+def expected_copies(sized: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame:
+    """(source, class, copies, source_size, target): expected copies of a document of each length.
+
+    As sources above, classes of a source reach `most` copies in the order of most / rate, that is from
+    the shortest on; the level of the others follows from running sums. A source has one row for each
+    binary length, 64 at most.
+    """
+    per = sized.groupBy("source", length_class(F.col("size")).alias("class")).agg(F.sum("size").cast("double").alias("_words"))
+    per = per.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    per = per.withColumn("_rate", F.floor(F.lit(RATE) / (F.col("class") + 1)).cast("double"))
+    order = Window.partitionBy("source").orderBy("class")
+    up_to, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    full = F.coalesce(F.sum(F.col("_words") * F.lit(float(most))).over(up_to), F.lit(0.0))
+    rest = F.sum(F.col("_words") * F.col("_rate")).over(after)
+    per = per.withColumn("_level", F.when(rest > 0, (F.col("target") - full) / rest))
+    stays = F.when(F.col("_level") * F.col("_rate") <= most, F.struct("class", "_level"))
+    level = F.min(stays).over(Window.partitionBy("source"))["_level"]
+    copies = F.coalesce(F.least(F.greatest(level, F.lit(0.0)) * F.col("_rate"), F.lit(float(most))), F.lit(float(most)))
+    copies = F.when(F.col("source_size") > 0, copies).otherwise(0.0)
+    return per.select("source", "class", copies.alias("copies"), "source_size", "target", "_words")
+
+
 def mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix-1", slices: int = SLICES) -> DataFrame:
     """(doc_id, source, size) with source_size, target, copies and taken = copies * size.
 
     Sources are joined NULL-safe. Repeated rows have equal random odds and are drawn one by one.
     """
-    targets = source_targets(sized, weights, share, most).withColumnRenamed("source", "_source")
-    whole = F.floor(F.col("target") / F.col("source_size"))
-    targets = targets.withColumn("_whole", F.when(F.col("source_size") > 0, F.least(whole, F.lit(most))).otherwise(0).cast("long"))
-    targets = targets.withColumn("_lack", F.col("target") - F.col("_whole") * F.col("source_size"))
-    targets = stored(targets, "mix-targets")
-
-    docs = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    f = F.col("_lack") / F.col("source_size")
-    u = uniform(F.col("doc_id"), seed)
-    odds = u / (1 - u) * (1 - f) / f  # random odds over inclusion odds
-    key = F.when((F.col("source_size") > 0) & (f > 0), odds / (1 + odds))
+    rates = expected_copies(sized, source_targets(sized, weights, share, most), most).withColumn("_whole", F.floor("copies").cast("long"))
+    certain = F.sum(F.col("_whole") * F.col("_words")).over(Window.partitionBy("source"))
+    rates = rates.select(
+        F.col("source").alias("_source"),
+        F.col("class").alias("_class"),
+        "source_size",
+        "target",
+        "_whole",
+        (F.col("copies") - F.col("_whole")).alias("_p"),
+        (F.col("target") - certain).alias("_lack"),
+    )
+    rates = stored(rates, "mix-rates")
+
+    same = F.col("source").eqNullSafe(F.col("_source")) & (length_class(F.col("size")) == F.col("_class"))
+    docs = sized.join(rates, same).drop("_source", "_class")
+    u, p = uniform(F.col("doc_id"), seed), F.col("_p")
+    odds = u / (1 - u) * (1 - p) / p  # random odds over inclusion odds
+    key = F.when(p > 0, odds / (1 + odds))
     docs = docs.withColumn("_key", key).withColumn("_slice", F.floor(F.col("_key") * slices).cast("int"))
 
     sums = docs.where(F.col("_slice").isNotNull()).groupBy("source", "_slice", "_lack").agg(F.sum("size").alias("_words"))
@@ -127,16 +166,28 @@ l AS (
         FROM w c) b
   WHERE (1.5 * (SELECT sum(source_size) FROM s) - coalesce(b.full_, 0)) / b.rest <= b.ratio),
 t AS (SELECT source, source_size, least(source_size * 2.0, coalesce(level * w, source_size * 2.0)) AS target FROM w, l),
+k AS (
+  -- lengths of a source by binary digits, with the words of all shorter ones and the rated words from here on
+  SELECT *, sum(words * rate) OVER (PARTITION BY source) - coalesce(sum(words * rate) OVER shorter, 0) AS rest,
+         coalesce(sum(words * 2.0) OVER shorter, 0) AS full_
+  FROM (SELECT source, len(bin(size)) AS digits, sum(size)::DOUBLE AS words, (2520 // (len(bin(size)) + 1))::DOUBLE AS rate FROM d GROUP BY ALL)
+  WINDOW shorter AS (PARTITION BY source ORDER BY digits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (
+  SELECT k.source, arg_min(greatest(0, (target - full_) / rest), digits) AS level
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source WHERE rest > 0 AND (target - full_) / rest * rate <= 2 GROUP BY k.source),
+e AS (
+  SELECT k.source, digits, words, source_size, target, CASE WHEN source_size > 0 THEN coalesce(least(level * rate, 2), 2) ELSE 0 END AS copies
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source LEFT JOIN v ON k.source IS NOT DISTINCT FROM v.source),
+i AS (SELECT *, floor(copies) AS whole, copies - floor(copies) AS p, target - sum(floor(copies) * words) OVER (PARTITION BY source) AS lack FROM e),
 r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, d.source,
-         CASE WHEN t.source_size > 0 THEN least(floor(t.target / t.source_size), 2) ELSE 0 END AS whole,
+  SELECT d.doc_id, d.size, i.source_size, i.target, d.source, whole, lack, p,
          (CAST(('0x' || substr(h, 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+  FROM d JOIN i ON d.source IS NOT DISTINCT FROM i.source AND len(bin(d.size)) = i.digits),
+o AS (SELECT *, CASE WHEN p > 0 THEN u / (1 - u) * (1 - p) / p END AS odds FROM r),
 c AS (
-  SELECT *, target - whole * source_size AS lack,
-         sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM r)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds) NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM o)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN lack > 0 AND upto + upto - size <= 2.0 * lack THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (whole + CASE WHEN p > 0 AND upto + upto - size <= 2.0 * lack THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c
 """

@@ -133,6 +133,27 @@ def test_targets_and_mix(spark, odd, empty):
     assert mixing.mix_documents(odd).count() == len(ODD) and mixing.mix_documents(empty).count() == 0
 
 
+def test_inclusion_follows_the_length(spark):
+    """Over many seeds a document is taken as often as its length says, and each draw meets the target."""
+    sizes = [9 + 13 * (i % 11) ** 2 for i in range(400)]
+    sized = spark.createDataFrame([(i, "ab"[i % 4 == 0], n) for i, n in enumerate(sizes)], "doc_id long, source string, size long")
+    rates = mixing.expected_copies(sized, mixing.source_targets(sized)).collect()
+    want = {(r.source, r["class"]): r.copies for r in rates}
+    for s in "ab":
+        rows = [r for r in rates if r.source == s]
+        assert abs(sum(r.copies * r._words for r in rows) - rows[0].target) < 1e-6 * rows[0].target
+        copies = [r.copies for r in sorted(rows, key=lambda r: r["class"])]
+        assert copies == sorted(copies, reverse=True) and max(copies) <= 2
+    assert len({c % 1 for c in want.values()} - {0.0}) > 4
+    got, n = collections.Counter(), collections.Counter()
+    for seed in range(25):
+        for r in mixing.mix(sized, seed=f"s{seed}").collect():
+            got[r.source, len(bin(r.size)) - 2] += r.copies
+            n[r.source, len(bin(r.size)) - 2] += 1
+            assert r.copies - want[r.source, len(bin(r.size)) - 2] < 1
+    assert all(abs(got[k] / n[k] - c) < 0.1 for k, c in want.items())
+
+
 # ---------------------------------------------------------------- near-duplicates
 
 

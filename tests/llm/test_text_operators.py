@@ -147,9 +147,68 @@ def test_random_strings_pass_the_battery():
     assert passed > 190
 
 
+def test_the_battery_counts_in_the_p_value():
+    rng = random.Random(5)
+    drawn = "".join(rng.choice(secret_scan._LOWER + secret_scan._DIGITS) for _ in range(32))
+    regular = "".join(a + b for a, b in zip("abcdefghijklmnop", "1234567890123456", strict=True))
+    bits = secret_scan.evidence(regular, 36)
+    assert bits > 40 and 2 * bits - secret_scan.judge(regular)[1] > 20  # unlike words, yet not random
+    assert 2 * secret_scan.evidence(drawn, 36) - secret_scan.judge(drawn)[1] < 10
+
+
+def test_letters_alone_parts_and_tokens_over_a_fixed_span():
+    rng = random.Random(3)
+    letters = "".join(rng.choice(secret_scan._LOWER + secret_scan._UPPER) for _ in range(40))
+    names = ["ThisIsARatherLongNameOfAClassInCode", "SOME_CONSTANT_OF_THE_WHOLE_PROJECT", "some-long-article-about-the-weather-in-may"]
+    assert secret_scan.judge(letters)[1] > 50 and all(secret_scan.judge(x)[1] < 20 for x in names)
+    drawn = "".join(rng.choice(secret_scan._LOWER + secret_scan._UPPER + secret_scan._DIGITS) for _ in range(32))
+    path = "files/of/the/project/by/name/" + drawn + "/some/more/of/the/same/names"
+    assert [path[s:e] for s, e, *_ in secret_scan.token_spans(path, [])] == [drawn]
+    text = "Zk9QwXb2_" + "0f1e2d3c4b5a69788796a5b4" + "_Lm8Rt2Vy7"
+    assert secret_scan.base_spans(text) == [(9, 2, 33)]
+    assert [(s, e) for s, e, *_ in secret_scan.token_spans(text, [(9, 2, 33)])] == [(0, len(text))]
+    inside = "token=" + drawn
+    assert secret_scan.token_spans(inside, secret_scan.base_spans(inside)) == []
+
+
+def test_long_runs_take_time_in_proportion():
+    import time
+
+    def seconds(text):
+        start = time.process_time()
+        secret_scan.token_spans(text, secret_scan.base_spans(text))
+        return time.process_time() - start
+
+    many = "token=" + "a1b2c3.d4e5f6." * 20_000
+    assert seconds("x" * 1_000_000) < 20 and seconds("Ab1/" * 250_000) < 20 and seconds(many) < 20
+
+
 # ---------------------------------------------------------------- languages
 
 
+def test_only_letters_are_letters(make):
+    rows = [(i, "words of the one language here", "en") for i in range(9)] + [(9 + i, "wörter der anderen sprache", "de") for i in range(9)]
+    odd = [(100 + i, x, "en") for i, x in enumerate(["½ ²", "Ⅷ", "①", "_ 7", "é", "字"])]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify_languages(make(rows + odd)).collect()}
+    assert [got[100 + i] == "und" for i in range(6)] == [True] * 4 + [False] * 2
+
+
+def test_held_out_labels_change_nothing(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(language_id, "MOST_TEXTS", 60)
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    other = docs.withColumn("lang", F.when(language_id.held_out(F.col("doc_id")), F.col("doc_id").cast("string")).otherwise(F.col("lang")))
+    draw = [language_id.sample(x, "doc_id", "text", "lang", 300, 20_000) for x in (docs, other, docs.repartition(7))]
+    assert draw[0] == draw[1] == draw[2] and len(draw[0][0]) > 20
+
+
+def test_repeated_rows_are_drawn_once(make):
+    rows = [(1, "the same words again", "en")] * 50 + [(i, f"some words {i}", "en") for i in range(2, 8)]
+    texts, languages = language_id.sample(make(rows), "doc_id", "text", "lang", 300, 20_000)
+    assert len(texts) == len(set(texts)) and set(languages) == {"en"}
+
+
 def test_languages(spark, odd, empty):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     got = language_id.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
