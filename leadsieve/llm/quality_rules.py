@@ -3,9 +3,12 @@
 Every document is measured once. Each measure of each (language, source) goes into a mergeable
 quantile sketch, a log-linear histogram: a value keeps its five leading bits, so a count sits in a
 bucket at most 1/16 of its value wide, and sketches of parts are merged by adding counts, in any
-order and with the same result. A threshold is an upper Tukey fence read from the sketch. A source
-with few documents borrows the sketch of its language, a small language that of the corpus, which
-are the same counts added up further. Documents then meet their thresholds in a join.
+order and with the same result. A threshold is an upper Tukey fence read from the sketch; a source's
+fence is drawn to that of its language, and a language's to that of the corpus, as if PRIOR more
+documents had shown it, so that small groups borrow and large ones stand alone. Those sketches are
+the same counts added up further. Documents then meet their thresholds in a join. A measure is a
+share of a document's words or lines and as uncertain as these are few: a document is over a fence
+if it is so by more than REACH sampling errors of its own length. No cutoff is fixed.
 """
 
 from __future__ import annotations
@@ -21,13 +24,17 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 
-#: Per mille of a document that each measure is, and the least fence that can reject. A fence is
-#: q75 + REACH * (q75 - q25), so a source in which all documents agree would reject the first one
-#: that differs; below these values no document is odd enough for that.
-MEASURES = {"symbols": 100, "repeats": 300, "dup_lines": 300, "word_length": 6500}
+#: Each is so many per mille of a document: (what is counted, of what).
+MEASURES = {
+    "symbols": ("n_symbols", "n_words"),
+    "repeats": ("n_repeat_words", "n_words"),
+    "dup_lines": ("n_dup_lines", "n_lines"),
+    "word_length": ("word_chars", "n_words"),
+}
+#: A fence is q75 + REACH * (q75 - q25); documents clear it by REACH sampling errors.
 REACH = 3.0
-#: Documents that a sketch needs before its quantiles count.
-ENOUGH = 100
+#: Documents as which the fence of the wider group counts. Few: a language of unlike sources has a wide one.
+PRIOR = 10
 LEADING_BITS = 5
 
 
@@ -102,12 +109,12 @@ def with_base(df: DataFrame) -> DataFrame:
 
 def _per_mille() -> dict[str, Column]:
     share = lambda a, b: F.when(F.col(b) > 0, F.expr(f"{a} * 1000L div {b}")).otherwise(F.lit(0).cast("long"))
-    return {
-        "symbols": share("n_symbols", "n_words"),
-        "repeats": share("n_repeat_words", "n_words"),
-        "dup_lines": share("n_dup_lines", "n_lines"),
-        "word_length": share("word_chars", "n_words"),
-    }
+    return {m: share(*of) for m, of in MEASURES.items()}
+
+
+def sampling_error(n: Column) -> Column:
+    """Per mille by which a share of n words or lines is uncertain."""
+    return F.lit(1000.0) / F.sqrt(F.greatest(n, F.lit(1)).cast("double"))
 
 
 def bucket(value: Column, bits: int = LEADING_BITS) -> Column:
@@ -140,19 +147,19 @@ def _fences(sketch: DataFrame, keys: list[str], reach: float) -> DataFrame:
     return out.select(*by, "total", (F.col("_high") + F.lit(reach) * (F.col("_high") - F.col("_low"))).alias("fence"))
 
 
-def thresholds(sketch: DataFrame, enough: int = ENOUGH, reach: float = REACH) -> DataFrame:
+def thresholds(sketch: DataFrame, prior: int = PRIOR, reach: float = REACH) -> DataFrame:
     """(lang, source, one column for each measure): a row for each language and source."""
-    floor = reduce(lambda a, kv: a.when(F.col("measure") == kv[0], float(kv[1])), MEASURES.items(), F.when(F.lit(False), 0.0))
     own = _fences(sketch, ["lang", "source"], reach)
     lang = _fences(sketch, ["lang"], reach).select(F.col("lang").alias("_l"), F.col("measure").alias("_m"), F.col("total").alias("_lt"), F.col("fence").alias("_lf"))
     corpus = _fences(sketch, [], reach).select(F.col("measure").alias("_m2"), F.col("fence").alias("_cf"))
     both = own.join(lang, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("measure") == F.col("_m"))).join(corpus, F.col("measure") == F.col("_m2"))
-    fence = F.when(F.col("total") >= enough, F.col("fence")).when(F.col("_lt") >= enough, F.col("_lf")).otherwise(F.col("_cf"))
-    both = both.select("lang", "source", "measure", F.greatest(fence, floor).alias("fence"))
+    drawn = lambda n, fence, wider: (n * fence + prior * wider) / (n + prior)
+    both = both.withColumn("_wider", drawn(F.col("_lt"), F.col("_lf"), F.col("_cf")))
+    both = both.select("lang", "source", "measure", drawn(F.col("total"), F.col("fence"), F.col("_wider")).alias("fence"))
     return both.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"max_{m}") for m in MEASURES])
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", enough: int = ENOUGH, reach: float = REACH) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: int = PRIOR, reach: float = REACH) -> DataFrame:
     """doc_id, lang, source, the base counts, base_failed, a flag for each measure over its fence, kept.
 
     A NULL or empty text has no words and fails the base rule. NULL languages and sources are groups
@@ -162,10 +169,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are small enough and shuffles with skew handling if not.
     """
     counts = stored(with_base(measured(docs, id_col, text_col)), "rule-counts")
-    limits = stored(thresholds(sketches(counts), enough, reach), "rule-limits").select(
+    limits = stored(thresholds(sketches(counts), prior, reach), "rule-limits").select(
         F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"max_{m}" for m in MEASURES]
     )
     joined = counts.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    over = {m: F.coalesce(v > F.col(f"max_{m}"), F.lit(False)) for m, v in _per_mille().items()}
+    least = {m: F.col(f"max_{m}") + F.lit(reach) * sampling_error(F.col(of)) for m, (_, of) in MEASURES.items()}
+    over = {m: F.coalesce(v > least[m], F.lit(False)) for m, v in _per_mille().items()}
     kept = ~F.col("base_failed") & ~reduce(lambda a, b: a | b, [F.col(f"over_{m}") for m in MEASURES])
     return joined.select(*counts.columns, *[c.alias(f"over_{m}") for m, c in over.items()]).withColumn("kept", kept)

@@ -75,6 +75,30 @@ def test_thresholds_follow_a_group(make):
     assert kept == {r[0] for r in rows} - {1007}
 
 
+def test_small_groups_borrow_and_lengths_count(make):
+    def text(i, words, symbols):
+        return " ".join(f"w{i}x{j}" + "#" * (j < symbols) for j in range(words))
+
+    rows = [(i, text(i, 60, 30 + i % 20), "en", "table") for i in range(400)]
+    rows += [(1000 + i, text(i, 60, 0), "de", "prose") for i in range(400)]
+    # the same odd text in a group with many symbols, in one without, and in small ones of either language
+    rows += [(2000 + i, text(i, 60, 45), *where) for i, where in enumerate([("en", "table"), ("de", "prose"), ("en", "new"), ("de", "new")])]
+    # a tenth of the words: within what chance does to 60 words, not to 2,000
+    rows += [(3000, text(1, 60, 6), "de", "prose"), (3001, text(1, 2000, 200), "de", "prose")]
+    kept = {r.doc_id for r in quality_rules.quality_rules(make(rows)).where("kept").collect()}
+    assert kept == {r[0] for r in rows} - {2001, 2003, 3001}
+
+
+def test_fences_decide_and_clean_documents_stay(spark):
+    from pyspark.sql import functions as F
+
+    docs, labels = (table(spark, "/root/testdata/sf0.1", x) for x in ("documents", "labels"))
+    got = quality_rules.quality_rules(docs).where("not base_failed").join(labels.where("quality is not null"), "doc_id")
+    clean, bad = F.col("quality") == 1, F.col("quality") == 0
+    row = got.agg(*[F.avg(F.when(c, F.col("kept").cast("int"))).alias(n) for c, n in ((clean, "clean"), (bad, "bad"))]).first()
+    assert row.clean > 0.99 and row.bad < 0.05
+
+
 def test_rules_on_odd_and_empty(odd, empty):
     assert [r.kept for r in quality_rules.quality_rules(odd).collect() if r.n_words < 50] == [False] * 9
     assert quality_rules.quality_rules(empty).count() == 0
