@@ -44,10 +44,14 @@ BOILERPLATE_STEMS = (
     "newsletter subscri signup login register social sharing related recommend comment disqus respond reply replies widget paginat copyright "
     "toolbar searchbox complementary contentinfo teaser outbrain taboola"
 ).split()
+#: Of these, words that name sections of an article too (`related-work`, `social-history`, `notice-period`, `top`).
+AMBIGUOUS = "related social top notice legal tools bio meta tag tags register alert notif response".split()
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
 
 #: Costs of telling names and elements, in the classifier's units (log odds).
 TAG_COST, NAME_COST, CONTENT_GAIN = 8.0, 6.0, 4.0
+#: Cost of an ambiguous name inside an article, where the text decides.
+AMBIGUOUS_COST = 2.0
 LOGIT_LIMIT = 3.0
 #: Strength of edges between neighbours in page order and under one element.
 ADJACENT, SIBLING = 1.2, 0.6
@@ -81,31 +85,34 @@ class Block:
 PLAIN, CONTENT, NAMED, HARD = range(4)
 
 
-def _told(tag: str, attributes: str, inside_content: bool) -> tuple[int, float, float, int]:
-    """(kind, cost, gain, stated label or -1); gain and label hold where the cost does not."""
+def _told(tag: str, attributes: str, inside_content: bool) -> tuple[int, float, float, int, bool]:
+    """(kind, cost, gain, stated label or -1, ambiguous); gain and label hold where the cost does not."""
     if (tag in BOILERPLATE_TAGS and tag != "form") or (tag == "header" and not inside_content):
-        return HARD, -TAG_COST, 0.0, 0
+        return HARD, -TAG_COST, 0.0, 0, False
     gain, known = (CONTENT_GAIN, 1) if tag in CONTENT_TAGS else (0.0, -1)
-    cost = -TAG_COST if tag == "form" else 0.0
+    cost, ambiguous = -TAG_COST if tag == "form" else 0.0, False
     if attributes and tag not in ("body", "html"):
         if _HIDDEN.search(attributes):
-            return HARD, -TAG_COST, 0.0, 0
+            return HARD, -TAG_COST, 0.0, 0, False
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
         words = [w.lower() for w in _WORDS.findall(names)] if names else ()
-        if any(w in BOILERPLATE_WORDS or w.startswith(tuple(BOILERPLATE_STEMS)) for w in words):
+        telling = [w for w in words if w in BOILERPLATE_WORDS or w.startswith(tuple(BOILERPLATE_STEMS))]
+        if telling:
+            ambiguous = not cost and all(w.startswith(tuple(AMBIGUOUS)) for w in telling)
             cost = min(cost, -NAME_COST)
         elif any(w in CONTENT_WORDS for w in words):
             gain = max(gain, CONTENT_GAIN / 2)
-    return NAMED if cost else CONTENT if gain else PLAIN, cost, gain, known
+    return NAMED if cost else CONTENT if gain else PLAIN, cost, gain, known, ambiguous
 
 
 class Mark:
     """An element that tells something, with the text found under it."""
 
-    __slots__ = ("up", "tag", "kind", "cost", "gain", "stated", "hard", "text", "top", "main", "under", "free", "worst", "best", "known")
+    __slots__ = ("up", "tag", "kind", "cost", "gain", "stated", "ambiguous", "hard", "text", "top", "main", "under", "free", "worst", "best", "known")
 
-    def __init__(self, up, tag, kind, cost, gain, stated, hard):
-        self.up, self.tag, self.kind, self.cost, self.gain, self.stated, self.hard = up, tag, kind, cost, gain, stated, hard
+    def __init__(self, up, tag, kind, cost, gain, stated, ambiguous, hard):
+        self.up, self.tag, self.kind, self.cost, self.gain, self.stated = up, tag, kind, cost, gain, stated
+        self.ambiguous, self.hard = ambiguous, hard
         self.text = self.top = self.under = 0  # characters outside links: of the element, its longest content element, its content ancestors
         self.main, self.free = False, True  # holds a <main>; stands under no name or form cost
         self.worst, self.best, self.known = 0.0, 0.0, -1
@@ -117,7 +124,8 @@ def _settle(marks: list[Mark]) -> None:
     A name or form cost is not inherited from an element that wraps the page's content: one that holds
     a <main>, or most of the page's text, or the longest content element and that a quarter of the text.
     It is inherited all the same if a longer content element, of a tenth of the text or more, lies
-    elsewhere under no such cost. `text` comes with what stands directly in each element.
+    elsewhere under no such cost. Inside a content element an ambiguous name costs so little that the text
+    decides, and it states no label. `text` comes with what stands directly in each element.
     """
     for m in reversed(marks[1:]):
         if not m.hard:
@@ -146,7 +154,9 @@ def _settle(marks: list[Mark]) -> None:
             holds = 2 * m.text > page.text or (m.top >= page.top and 4 * m.top >= page.text > 0)
             if m.main or (holds and max(m.top, m.under) >= rival):
                 cost = 0.0
-        if cost:
+        if cost and m.ambiguous and up.under:
+            m.worst, m.known = min(m.worst, -AMBIGUOUS_COST), 0 if m.known == 0 else -1
+        elif cost:
             m.worst, m.known = min(m.worst, cost), 0
         else:
             m.best = max(m.best, m.gain)
@@ -156,7 +166,7 @@ def _settle(marks: list[Mark]) -> None:
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in page order, character references decoded, white space folded."""
     out: list[Block] = []
-    marks = [Mark(0, "", PLAIN, 0.0, 0.0, -1, False)]
+    marks = [Mark(0, "", PLAIN, 0.0, 0.0, -1, False, False)]
     # tag, element number, the nearest element that tells something, whether one tells content
     stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
     of_block: list[int] = []
@@ -219,7 +229,7 @@ def blocks_of(page: str) -> list[Block]:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 if end:
                     at = end.end()
-                elif tag not in ("head", "title"):
+                elif tag in ("script", "style"):  # code up to the end; the others are as good as closed at once
                     at = size
             if tag not in ("svg", "math"):
                 flush()
@@ -239,10 +249,10 @@ def blocks_of(page: str) -> list[Block]:
             stack.pop()
             low = min(low, len(stack))
         _, _, mark, inside = stack[-1]
-        kind, cost, gain, stated = _told(tag, attributes, inside)
+        kind, cost, gain, stated, ambiguous = _told(tag, attributes, inside)
         elements += 1
         if kind != PLAIN:
-            marks.append(Mark(mark, tag, kind, cost, gain, stated, kind == HARD or marks[mark].hard))
+            marks.append(Mark(mark, tag, kind, cost, gain, stated, ambiguous, kind == HARD or marks[mark].hard))
             mark = len(marks) - 1
         stack.append((tag, elements, mark, inside or gain > 0))
     flush()

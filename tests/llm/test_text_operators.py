@@ -302,3 +302,21 @@ def test_wrapper_names_do_not_drop_the_article(opening, closing):
     side = '<div class="sidebar"><p>Read this other story, too.</p></div><div class="comments"><article><p>Nice, thanks to all.</p></article></div>'
     page = "<html><body>" + opening + "".join(f"<p>{p}</p>" for p in prose) + closing + side + "</body></html>"
     assert html_text.main_text(page, html_text.DEFAULT) == "\n".join(prose)
+
+
+@pytest.mark.parametrize("opening", ['section id="related-work"', 'section class="social-history"', 'div class="top"', 'section class="notice-period"'])
+def test_sections_of_an_article_may_have_telling_names(opening):
+    prose = [f"Paragraph {i} tells of the river, the long road, and the town where they met again in spring." for i in range(11)]
+    inner = "".join(f"<p>{p}</p>" for p in prose[4:7])
+    links = '<div class="related"><ul><li><a href="/a">Another story</a></li><li><a href="/b">One more</a></li></ul></div>'
+    comments = '<div class="comments"><p>I liked it very much, thanks to the author for all of this.</p></div>'
+    page = "<article>" + "".join(f"<p>{p}</p>" for p in prose[:4]) + f"<{opening}>{inner}</{opening.split()[0]}>"
+    page += "".join(f"<p>{p}</p>" for p in prose[7:]) + links + comments + "</article>"
+    assert html_text.main_text(page, html_text.DEFAULT) == "\n".join(prose)
+
+
+@pytest.mark.parametrize("tag", ["iframe", "select", "video", "noscript", "object", "audio"])
+def test_unclosed_elements_do_not_drop_the_rest(tag):
+    prose = [f"Paragraph {i} tells of the river, the long road, and the town where they met again in spring." for i in range(4)]
+    page = f"<article><p>{prose[0]}</p><{tag} src='x'><p>{prose[1]}</p><p>{prose[2]}</p></article><p>{prose[3]}</p>"
+    assert html_text.main_text(page, html_text.DEFAULT).startswith("\n".join(prose[:3]))
