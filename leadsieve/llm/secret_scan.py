@@ -286,18 +286,20 @@ def redact(docs: DataFrame, text_col: str = "text", level: float = FDR, mark: st
     """
     small_batches(docs.sparkSession)
     cuts = cutoffs(scan(docs.select(text_col), text_col), level)
-    found = scan(docs, text_col).withColumn("_all", all_spans(cuts)).drop("base_spans", "token_spans")
     names = docs.columns
 
+    def clean(text):
+        base = base_spans(text)
+        found = [(s, e) for s, e, step, p in token_spans(text, base) if step in cuts and p >= cuts[step]]
+        return replaced(text, [(s, e) for s, _, e in base] + found, mark)
+
     def make():
         def work(batch):
-            texts, spans = batch.column(text_col).to_pylist(), batch.column("_all").to_pylist()
-            clean = [replaced(x, [(s["start"], s["end"]) for s in y], mark) for x, y in zip(texts, spans, strict=True)]
-            return [clean if x == text_col else batch.column(x) for x in names]
+            return [[x and clean(x) for x in batch.column(x).to_pylist()] if x == text_col else batch.column(x) for x in names]
 
         return work
 
-    return map_batches(found, make, docs.schema)
+    return map_batches(docs, make, docs.schema)
 
 
 def replaced(text: str | None, spans: list[tuple[int, int]], mark: str) -> str | None:
