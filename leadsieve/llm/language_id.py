@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadsieve.llm.common import crc_mod, id_type, map_batches, small_batches, texts_of
+from leadsieve.llm.common import crc_mod, id_type, map_batches, small_batches, stored, texts_of
 
 #: Hashed trigrams; bound of the learning sample (texts of each language, bytes of such a text).
 #: A table with many languages learns from fewer texts of each: at most MOST_TEXTS in all.
@@ -128,7 +128,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
     per_language = max(1, min(per_language, MOST_TEXTS // max(1, languages)))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))
     first = rows.select("_lang", "_hash").withColumn("_rank", rank).where(F.col("_rank") <= per_language)
-    last = first.groupBy("_lang").agg(F.max("_hash").alias("_last"))
+    # written, so that Spark sees how small the table is and need not shuffle the texts
+    last = stored(first.groupBy("_lang").agg(F.max("_hash").alias("_last")), "language-cuts")
     drawn = rows.join(last, "_lang").where(F.col("_hash") <= F.col("_last")).groupBy("_lang", "_hash").agg(F.min("_text").alias("_text"))
     found = sorted(drawn.collect(), key=lambda r: (r["_lang"], r["_hash"]))
     found = [r for r in found if _LETTER.search(r["_text"])]
