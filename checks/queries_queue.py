@@ -325,19 +325,24 @@ def latest_stage(spark, sf_dir):
     return texts(history.latest_stage(crm.lead_history(spark, sf_dir)))
 
 
+def in_batches(events: DataFrame) -> DataFrame:
+    """Events with their batch by age, dealt so that a batch is files of bounded size and no task holds one whole."""
+    age = F.floor(F.datediff(CLOCK.today_col(), F.col("created_at")) / 30).cast("int")
+    return events.withColumn("batch", F.least(age, F.lit(2))).hint("rebalance", "batch")
+
+
 @register(
     "latest_stage_kept",
     """SELECT lead_id, stage AS audit_stage, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS audit_stage_at FROM crm_event
     QUALIFY row_number() OVER (PARTITION BY lead_id ORDER BY created_at DESC NULLS LAST, event_id DESC) = 1""",
 )
 def latest_stage_kept(spark, sf_dir):
-    """The same from a stream: events arrive in three files, the oldest last, and one file twice."""
+    """The same from a stream: events arrive in three batches of files, the oldest last, and one batch twice."""
     root = scratch_path(spark, "followed")
     events = crm.lead_history(spark, sf_dir)
-    age = F.floor(F.datediff(CLOCK.today_col(), F.col("created_at")) / 30).cast("int")
-    events.withColumn("batch", F.least(age, F.lit(2))).repartition("batch").write.partitionBy("batch").parquet(f"{root}/in")
+    in_batches(events).write.partitionBy("batch").parquet(f"{root}/in")
     for name in ("batch=0", "batch=1", "batch=2", "batch=0"):
-        done = latest.follow(spark, f"{root}/in/{name}", LEAD_HISTORY, f"{root}/kept", f"{root}/seen-{scratch_path(spark, 'x')[-8:]}", files_per_batch=1)
+        done = latest.follow(spark, f"{root}/in/{name}", LEAD_HISTORY, f"{root}/kept", f"{root}/seen-{scratch_path(spark, 'x')[-8:]}")
         done.awaitTermination()
     return texts(latest.read_latest(spark, f"{root}/kept"))
 
