@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from leadsieve.sources.schemas import RCA_COLUMNS
 CELL = 900
 DEFAULT_DAYS, MAX_DAYS = 45, 120
 REWORK = "%rework%"
+#: What `with_review` reads of a log row.
+SEEN = ("audit_date", "lead_id", "reason")
 
 
 def look_back_days(asked: str | int | None) -> int:
@@ -48,12 +51,15 @@ def reviews_in_window(log: DataFrame, clock: Clock, days: str | int | None = Non
     return log.filter((review_day() == "") | (review_day() >= cut))
 
 
-def newest_reviews(log: DataFrame) -> DataFrame:
-    """One row per audit day and lead: the newest, and of equals the one appended later."""
+def newest_reviews(log: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
+    """One row per audit day and lead: the newest, and of equals the one appended later.
+
+    A log row is wide. Name the `fields` that are read afterwards: the others are neither sorted nor shuffled.
+    """
     order = F.struct(null_to_blank(F.col("logged_at")), F.col("seq"))
     return (
         log.groupBy(review_day().alias("_day"), null_to_blank(F.col("lead_id")).alias("_lead"))
-        .agg(F.max_by(F.struct(*log.columns), order).alias("r"))
+        .agg(F.max_by(F.struct(*(fields or log.columns)), order).alias("r"))
         .select("r.*")
     )
 
