@@ -10,6 +10,7 @@ from leadsieve.config import LOCAL_ZONE, MONTH_CHANGEOVER_DAYS
 ISO_DATE_PREFIX = r"^\d{4}-\d{2}-\d{2}"
 ISO_INSTANT_PREFIX = r"^\d{4}-\d{2}-\d{2}T"
 CLOCK_12H = r"(?i)^\d{1,2}:\d{2}\s*[AP]M$"
+WHOLE_CLOCK = r"^\d{1,2}:\d{2}\s*[AP]M\z"
 MORNING_SECONDS = 9 * 3600
 DAY_SECONDS = 86_400
 
@@ -37,11 +38,12 @@ def instant_from_text(c: Column, shape: str) -> Column:
 
 def clock_seconds(c: Column) -> Column:
     """Seconds of day of `9:30 PM` text; 09:00 when absent or malformed."""
-    text = F.trim(c)
-    # the parser wants exactly one space before the half-day mark
-    spaced = F.regexp_replace(F.upper(text), r"\s*([AP]M)$", " $1")
-    parsed = F.when(text.rlike(CLOCK_12H), F.try_to_timestamp(spaced, F.lit("h:mm a")))
-    return F.coalesce(F.hour(parsed) * 3600 + F.minute(parsed) * 60, F.lit(MORNING_SECONDS))
+    # arithmetic, since a parser throws for a time that does not exist, and per row that is slow
+    text = F.upper(F.trim(c))
+    hour, minute = F.substring_index(text, ":", 1).try_cast("int"), F.substring(F.substring_index(text, ":", -1), 1, 2).try_cast("int")
+    exists = text.rlike(WHOLE_CLOCK) & hour.between(1, 12) & (minute < 60)
+    half = F.when(text.endswith("PM"), 12).otherwise(0)
+    return F.when(exists, (hour % 12 + half) * 3600 + minute * 60).otherwise(MORNING_SECONDS)
 
 
 def instant_of_local(day: Column, seconds: Column) -> Column:

@@ -25,6 +25,7 @@ from leadsieve.functions.text import digits, phone_key
 from leadsieve.functions.times import ISO_DATE_PREFIX, ISO_INSTANT_PREFIX, instant_from_text, local_date
 from leadsieve.operators.population import lead_phones
 from leadsieve.operators.skew import lookup_join, prefilter
+from leadsieve.session import written
 
 CONNECT_DIGITS = 15
 MANUAL = "Manual"
@@ -71,7 +72,7 @@ def dials_after(starts: DataFrame, dials: DataFrame) -> DataFrame:
 
     # rows of the minute at or after this one; equal times count as after
     later = Window.partitionBy("ph10", "minute").orderBy(F.col("at").desc())
-    running = line.select(
+    totals = line.select(
         "ph10",
         "hour",
         "minute",
@@ -81,8 +82,9 @@ def dials_after(starts: DataFrame, dials: DataFrame) -> DataFrame:
         F.sum("c").over(later).alias("c"),
         F.max("dial_at").over(later).alias("last_at"),
     )
-    # running totals only grow, so their maxima are the totals of the minute; the grouping uses
-    # the window's own partitioning
+    # stored, because it is read three times: each reader would scan the log and sort the line anew
+    running = written(totals, "dials")
+    # running totals only grow, so their maxima are the totals of the minute
     minutes = running.groupBy("ph10", "minute").agg(
         F.max("hour").alias("hour"),
         F.max("n").alias("n"),
@@ -95,7 +97,7 @@ def dials_after(starts: DataFrame, dials: DataFrame) -> DataFrame:
     of_phone = hours.select(
         F.col("ph10").alias("_ph10"), F.col("hour").alias("_hour"), *_later_totals(Window.partitionBy("ph10"), "hour", "far")
     )
-    # null-safe on the slices, or the optimizer would filter one of the two readings of the line
+    # null-safe on the slices, or the optimizer would filter one of the two readings of the minutes
     # for NULL slices and Spark could not share their shuffle
     same_hour = (F.col("ph10") == F.col("_ph10")) & F.col("hour").eqNullSafe(F.col("_hour"))
     rest = of_hour.filter("marked").join(of_phone, same_hour).select(
