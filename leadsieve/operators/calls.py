@@ -25,7 +25,6 @@ from leadsieve.functions.text import digits, phone_key
 from leadsieve.functions.times import ISO_DATE_PREFIX, ISO_INSTANT_PREFIX, instant_from_text, local_date
 from leadsieve.operators.population import lead_phones
 from leadsieve.operators.skew import lookup_join, prefilter
-from leadsieve.session import written
 
 CONNECT_DIGITS = 15
 MANUAL = "Manual"
@@ -59,32 +58,32 @@ def dials_after(starts: DataFrame, dials: DataFrame) -> DataFrame:
     combined = dials.groupBy("ph10", "call_at").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("connected").alias("c")
     )
-    line = combined.select(
-        "ph10", F.col("call_at").alias("at"), "n", "c", F.col("call_at").alias("dial_at"), F.lit(False).alias("mark")
-    ).unionByName(
-        starts.select("ph10", F.col("since_at").alias("at"), F.lit(True).alias("mark")).distinct(),
+    # The line is read three times below. Every reader asks for all of its columns and takes hour, mark and
+    # the dial's time from them after the shuffle; were they columns, each reader would drop those that it
+    # does not need, no two shuffles would be alike, and the log would be scanned for each.
+    line = combined.select("ph10", F.col("call_at").alias("at"), "n", "c").unionByName(
+        starts.select("ph10", F.col("since_at").alias("at")).distinct(),
         allowMissingColumns=True,
     )
     # dials without a time fall into the slices NULL, which sort before all others: no start looks
     # for them there
-    second = F.unix_seconds("at")
-    line = line.withColumns({"minute": F.floor(second / 60), "hour": F.floor(second / 3600)})
+    line = line.withColumn("minute", F.floor(F.unix_seconds("at") / 60))
 
     # rows of the minute at or after this one; equal times count as after
     later = Window.partitionBy("ph10", "minute").orderBy(F.col("at").desc())
-    totals = line.select(
+    mark = F.col("n").isNull()
+    running = line.select(
         "ph10",
-        "hour",
+        F.floor(F.col("minute") / 60).alias("hour"),
         "minute",
-        "mark",
+        mark.alias("mark"),
         "at",
         F.sum("n").over(later).alias("n"),
         F.sum("c").over(later).alias("c"),
-        F.max("dial_at").over(later).alias("last_at"),
+        F.max(F.when(~mark, F.col("at"))).over(later).alias("last_at"),
     )
-    # stored, because it is read three times: each reader would scan the log and sort the line anew
-    running = written(totals, "dials")
-    # running totals only grow, so their maxima are the totals of the minute
+    # running totals only grow, so their maxima are the totals of the minute; the grouping uses
+    # the window's own partitioning
     minutes = running.groupBy("ph10", "minute").agg(
         F.max("hour").alias("hour"),
         F.max("n").alias("n"),
@@ -97,7 +96,7 @@ def dials_after(starts: DataFrame, dials: DataFrame) -> DataFrame:
     of_phone = hours.select(
         F.col("ph10").alias("_ph10"), F.col("hour").alias("_hour"), *_later_totals(Window.partitionBy("ph10"), "hour", "far")
     )
-    # null-safe on the slices, or the optimizer would filter one of the two readings of the minutes
+    # null-safe on the slices, or the optimizer would filter one of the two readings of the line
     # for NULL slices and Spark could not share their shuffle
     same_hour = (F.col("ph10") == F.col("_ph10")) & F.col("hour").eqNullSafe(F.col("_hour"))
     rest = of_hour.filter("marked").join(of_phone, same_hour).select(
@@ -157,13 +156,14 @@ def call_stats(
         floor = instant(clock.days_ago(days + 2))
         since = F.greatest(F.coalesce("assigned_at", floor), floor)
         starts = phones.select("lead_id", "ph10", since.alias("since_at"))
-        keys = ["ph10", "since_at"]
+        totals = dials_after(starts, prefilter(dials, starts, "ph10")).withColumnsRenamed({"ph10": "_ph10", "since_at": "_since_at"})
+        # null-safe, though no phone is NULL here: the optimizer would carry the test of the leads' phones
+        # over to one of the readings of the line, which could not share its shuffle then
+        same = F.col("ph10").eqNullSafe(F.col("_ph10")) & (F.col("since_at") == F.col("_since_at"))
     else:
         starts = phones.select("lead_id", "ph10")
-        keys = ["ph10"]
-    dials = prefilter(dials, starts, "ph10")
-    totals = dials_after(starts, dials) if since_assignment else dials_by_phone(dials)
-    joined = starts.join(totals, keys)
+        totals, same = dials_by_phone(prefilter(dials, starts, "ph10")), ["ph10"]
+    joined = starts.join(totals, same)
     return joined.select("lead_id", "last_call_at", "calls_30d", "connects_30d")
 
 
